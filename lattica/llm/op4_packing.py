@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LATIN = re.compile("[^\x00-˿]|<\\|")  # outside it, or a special token's mark: no lower-casing ahead
 CORE_TAIL = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%&$*#]+)")
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
-CACHE = 400_000
+CACHE = 1_500_000  # about 300 MB in each Python worker
 
 
 class WordTokenizer:
@@ -38,12 +38,11 @@ class WordTokenizer:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE:
-            for key in list(self.cache)[: len(self.cache) // 2]:
-                del self.cache[key]
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks new to the cache, which then keeps them."""
         split = {c: m.groups() for c in chunks if (m := CORE_TAIL.fullmatch(c))}
-        parts = dict.fromkeys(p for c in chunks for p in split.get(c, (c,)) if p not in self.cache)
+        new = {p: self.cache[p] for pair in split.values() for p in pair if p in self.cache}
+        parts = dict.fromkeys(p for c in chunks for p in split.get(c, (c,)) if p not in new)
         letters = [p for p in parts if LETTERS.fullmatch(p)]
         for i in range(0, len(letters), 4096):
             words = letters[i : i + 4096]  # each is one word, so its ids end at a word-end token
@@ -51,30 +50,32 @@ class WordTokenizer:
             at = np.nonzero(self.ends[ids])[0] + 1
             if len(at) == len(words):
                 body, at = ids.tobytes(), (4 * at).tolist()
-                self.cache.update(zip(words, [body[a:b] for a, b in zip([0, *at], at)]))
-        todo = [p for p in parts if p not in self.cache]
+                new.update(zip(words, [body[a:b] for a, b in zip([0, *at], at)]))
+        todo = [p for p in parts if p not in new]
         for i in range(0, len(todo), 4096):
             for part, e in zip(todo[i : i + 4096], self.tokenizer.encode_batch_fast(todo[i : i + 4096], add_special_tokens=False)):
-                self.cache[part] = np.array(e.ids, np.uint32).tobytes()
+                new[part] = np.array(e.ids, np.uint32).tobytes()
         for c, (core, tail) in split.items():
-            self.cache[c] = self.cache[core] + self.cache[tail]
+            new[c] = new[core] + new[tail]
+        if len(self.cache) + len(new) > CACHE:
+            for key in list(self.cache)[: len(self.cache) // 2]:
+                del self.cache[key]
+        self.cache.update(new)
+        return new
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
+        split, missing = [], set()
         for text in texts:
             if not LATIN.search(text):
                 text = text.lower()
             chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             found = list(map(self.cache.get, chunks))
             if None in found:
-                self.learn(list({c for c, x in zip(chunks, found) if x is None}))
-                found = list(map(self.cache.get, chunks))
-                if None in found:  # the cache was halved meanwhile
-                    self.learn(list({c for c, x in zip(chunks, found) if x is None}))
-                    found = [x if x is not None else self.cache.get(c) for c, x in zip(chunks, found)]
-            out.append(b"".join(found))
-        return out
+                missing.update([c for c, x in zip(chunks, found) if x is None])
+            split.append((chunks, found))
+        new = self.learn(list(missing)) if missing else {}
+        return [b"".join([new[c] if x is None else x for c, x in zip(chunks, found)] if None in found else found) for chunks, found in split]
 
 
 def combinations(hist: np.ndarray, window: int, most: int) -> list[tuple[int, ...]]:
