@@ -51,3 +51,11 @@ def binary_views(column) -> list:
     ends = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[start : start + n + 1]
     body = memoryview(data) if data is not None else memoryview(b"")
     return [body[int(a) : int(b)] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context cleaner drop the shuffle files of phases whose results are parked."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
