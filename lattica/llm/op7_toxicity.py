@@ -61,11 +61,27 @@ class Linear:
         return float(1.0 / (1.0 + np.exp(-min(max(z, -40.0), 40.0))))
 
 
+def hopeful(rows: list[np.ndarray], labels: np.ndarray, least_df: int, always: np.ndarray, bits: int = 22) -> list[np.ndarray]:
+    """Each row's features whose bin of hashes is frequent and telling enough to be chosen;
+    counted row by row, so that memory does not follow the sum of all rows."""
+    mask = np.uint32((1 << bits) - 1)
+    df, pos = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
+    for row, label in zip(rows, labels):
+        bins = np.unique(row & mask)
+        df[bins] += 1
+        pos[bins] += label
+    rate = float(labels.mean()) if len(labels) else 0.1
+    good = (df >= least_df) & (np.abs(pos - df * rate) > 1.5 * np.sqrt(df * rate * (1 - rate)))
+    good[always & mask] = True
+    return [row[good[row & mask]] for row in rows]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 30_000, least_df: int = 4, rounds: int = 300, l2: float = 2e-4, swap: float = 1.0) -> Linear:
     """Logistic regression whose loss adds swap * mean (score change)^2 over counterfactual
     pairs: each labelled text that names a group, with the name exchanged for every other
     one, and each pair of names by itself (a neutral mention)."""
     names = [zlib.crc32(t.encode()) for t in IDENTITY]
+    rows = hopeful(rows, labels, least_df, np.array(names, np.uint32))
     lens = np.array([len(r) for r in rows], int)
     flat = np.concatenate(rows) if lens.sum() else np.zeros(0, np.uint32)
     doc = np.repeat(np.arange(len(rows)), lens)
@@ -109,7 +125,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 30_000, least_df
     return Linear(chosen, w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **settings) -> Linear:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, **settings) -> Linear:
     """Fits on at most ``sample_rows`` labelled rows (the stated bound) of the training folds:
     those of smallest hash of doc_id. Null ids and labels are left out; of repeated labels
     the greatest counts. Executors send feature hashes only."""
