@@ -59,3 +59,11 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def unique_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` with one row for each doc_id and text; ``known`` has their (doc_id, th) pairs.
+    Texts are moved only where some row does repeat."""
+    if known.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        return docs
+    return docs.withColumn("_th", F.xxhash64(text_of().cast("binary"))).dropDuplicates(["doc_id", "_th"]).drop("_th")

@@ -342,6 +342,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return out.withColumn("_cut", cut(body, F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_cut.*")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` brought up to date.
+    Parts of characters that a cut leaves are dropped."""
+
+    @F.arrow_udf("string")
+    def decode(kept: pa.Array) -> pa.Array:
+        return pa.array([bytes(v).decode("utf-8", "ignore") for v in binary_views(kept)], pa.string())
+
+    done = remove_repeats(docs).withColumn("text", decode("kept"))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast("long"))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import binary_views, park, release, table, text_of
+from lattica.llm.common import binary_views, park, release, table, text_of, unique_rows
 
 WORDS = 5
 NUM, DEN = 4, 5  # the similarity, as a fraction
@@ -282,6 +282,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(known.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The document of smallest doc_id of each group of linked documents, and every document
+    without links, with all columns of ``docs``. Of repeated rows one stays; a null doc_id
+    counts as the greatest."""
+    th = F.xxhash64(text_of().cast("binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
+    known, roots = link_classes(texts)
+    member = known.filter("n > 0").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    chosen = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_t"))
+    chosen = park(chosen.union(known.filter("n = 0").select("doc_id", "th").distinct()), "kept")
+    return unique_rows(docs, known).withColumn("_th", th).join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi").drop("_th")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

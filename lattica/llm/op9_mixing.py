@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import park, table, text_of
+from lattica.llm.common import park, table, text_of, unique_rows
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -52,7 +52,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) ->
     return per.select("source", "rank", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as ``mix`` takes it, with all columns of ``docs``."""
+    th = F.xxhash64(text_of().cast("binary"))
+    taken = park(mix(docs.withColumn("th", th), carry=("th",)).filter("copies > 0").groupBy("doc_id", "th").agg(F.sum("copies").alias("_n")), "taken")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"))
+    wanted = taken.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t")
+    found = unique_rows(docs, ids).withColumn("_th", th).join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    return found.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes: whole documents, up to ``repeats`` times.
 
     Each source queues its documents in a fixed shuffled order, again and again. A copy's
@@ -62,10 +72,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
     Null texts and texts without words have size 0 and are taken 0 times; a null source is
     a source; repeated rows are separate documents; null doc_ids are kept; an empty table
-    gives no rows; extra columns are ignored. Columns: doc_id, size, source_size, target,
-    taken, copies.
+    gives no rows; extra columns are ignored but for those in ``carry``. Columns: doc_id, size,
+    source_size, target, taken, copies.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text_of(), F.lit(WORDS)).cast("long").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text_of(), F.lit(WORDS)).cast("long").alias("size"), *carry)
     rows = park(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     targets = source_targets(rows, weights, repeats)
     known = rows.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s", "source")
@@ -80,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     taken = lined.filter(F.col("spent") - F.col("size") / 2 <= budget).groupBy("row").agg(F.count("*").alias("n"))
     out = known.join(taken, "row", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.cast("int").alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.cast("int").alias("copies"), *carry)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
