@@ -433,7 +433,7 @@ def plan_levels(spark, d):
     return loaders.plan_levels(tasks.withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>"))))
 
 
-@query("source_templates", "SELECT * FROM (VALUES ('workflow', 9, 10), ('knowledge', 10, 11), ('dependencies', 11, 13), ('statemachine', 8, 11), ('orgchart', 11, 10), ('microservices', 10, 13), ('taskplan', 8, 8), ('codebase', 24, 29)) t(id, nodes, edges)")
+@query("source_templates", "SELECT * FROM (VALUES ('workflow', 9, 10), ('knowledge', 10, 11), ('dependencies', 11, 13), ('statemachine', 8, 11), ('orgchart', 11, 10), ('microservices', 10, 13), ('taskplan', 8, 8), ('codebase', 25, 30)) t(id, nodes, edges)")
 def template_sizes(spark, d):
     return spark.createDataFrame([(t["id"], t["node_count"], t["edge_count"]) for t in templates.template_list()], "id string, nodes int, edges int")
 
