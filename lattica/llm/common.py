@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -67,3 +68,32 @@ def unique_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
     if known.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         return docs
     return docs.withColumn("_th", F.xxhash64(text_of().cast("binary"))).dropDuplicates(["doc_id", "_th"]).drop("_th")
+
+
+_held: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks, such as a word cache. One thing at a time:
+    another operator's state replaces it, so that reused workers do not add up their caches."""
+    if key not in _held:
+        _held.clear()
+        trim()
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """1,000 rows an Arrow batch from now on in this session: whole texts are large rows, and
+    a batch exists several times over, in the JVM and in its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -12,13 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table, text_of
+from lattica.llm.common import small_batches, table, text_of, worker_state
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LATIN = re.compile("[^\x00-˿]|<\\|")  # outside it, or a special token's mark: no lower-casing ahead
 CORE_TAIL = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%&$*#]+)")
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
-CACHE = 1_500_000  # about 300 MB in each Python worker
+CACHE = 1_000_000  # about 200 MB in each Python worker
 
 
 class WordTokenizer:
@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches):
-        words = tokenizer_of(tokenizer)
+        words = worker_state(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer))
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
         ids, blobs, held, made = [], [], 0, 0
@@ -218,20 +218,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         if ids:
             yield from flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
 
-_made: dict[str, WordTokenizer] = {}
-
-
-def tokenizer_of(path: str) -> WordTokenizer:
-    """One tokenizer and cache for each Python worker."""
-    if path not in _made:
-        _made[path] = WordTokenizer(path)
-    return _made[path]
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -8,11 +8,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import park, table, text_of, worker_state
+from lattica.llm.common import park, small_batches, table, text_of, worker_state
 from lattica.llm.op4_packing import WordTokenizer, default_tokenizer
 
 END = 65_535  # end of a document: no id of the 49,408 in the vocabulary
-BLOCK = 1 << 20  # tokens
+BLOCK = 1 << 17  # tokens; small enough that a Parquet writer holds few MB of blocks
 FLAT = "file_id long, block long, data binary, ids array<long>"
 
 
@@ -45,6 +45,7 @@ def write_flat(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame
         if len(rest):
             yield row(n_blocks, rest.tobytes(), None)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, FLAT)
 
