@@ -18,17 +18,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import binary_views, park, release, table, text_of, unique_rows
+from lattica.llm.common import binary_views, park, release, small_batches, table, text_of, trim, unique_rows, worker_state
 
 WORDS = 5
 NUM, DEN = 4, 5  # the similarity, as a fraction
-HEAVY_DF = 40
+HEAVY_DF = 10
 HEAVY_MOST = 131_072  # bound of the broadcast list of heavy tokens
-SEEN = (3, 10)  # share of each set whose tokens are counted for that list
+WINDOW = 2_000_000
+SLOTS = 1 << 23
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -37,6 +38,8 @@ def prefix_size(n):
 
 
 def each_set(batch):
+    worker_state("none", dict)  # a reused worker frees what another operator kept
+    trim()
     views = binary_views(batch.column("text"))
     for a, b in shingles.ranges(views):
         yield from zip(range(a, b), shingles.sets_of(views[a:b], WORDS))
@@ -48,10 +51,25 @@ def slices(batch: pa.RecordBatch, size: int = 50_000):
 
 
 def count_tokens(batches):
+    """(tok, n): tokens that at least two and at least one in 2,000 texts of a window share.
+    Windows of about WINDOW tokens bound the memory; every token of every text is counted."""
+    held: list[np.ndarray] = []
+    total = 0
+
+    def frequent():
+        toks, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= max(2, len(held) // 2000)
+        return pa.RecordBatch.from_arrays([pa.array(toks[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["tok", "n"])
+
     for batch in batches:
-        parts = [s[: len(s) * SEEN[0] // SEEN[1] + 1] for _, s in each_set(batch)]
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        yield from slices(pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["tok"]))
+        for _, s in each_set(batch):
+            held.append(s)
+            total += len(s)
+            if total >= WINDOW:
+                yield from slices(frequent())
+                held, total = [], 0
+    if held:
+        yield from slices(frequent())
 
 
 def set_id(s: np.ndarray) -> int:
@@ -93,44 +111,85 @@ def lists(arrays) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.zeros(0, np.int64), pa.int64()))
 
 
+SHARED = "tok long, s long, n int, h int, last int, up int"
+APART = SHARED + ", root long"
 PAIRS = "x long, y long, nx int, ny int, hx int, hy int, lx int, ly int"
 
 
-def pair_up(batches):
-    """Rows sorted by (tok, s) to pairs of different sets that share a token and can match in size."""
+def whole_tokens(batches, names: list[str]):
+    """Columns of consecutive batches, cut so that no token's rows are parted."""
     held = None
-    names = ["tok", "s", "n", "h", "last"]
+    for batch in batches:
+        cols = {k: np.asarray(batch.column(k)) for k in names}
+        if held is not None:
+            cols = {k: np.concatenate([held[k], cols[k]]) for k in names}
+        if len(cols["tok"]):
+            cut = int(np.searchsorted(cols["tok"], cols["tok"][-1]))  # the last token may go on
+            held = {k: v[cut:] for k, v in cols.items()}
+            yield {k: v[:cut] for k, v in cols.items()}
+    if held is not None:
+        yield held
+
+
+def near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    return DEN * small >= NUM * large
 
-    def pairs(cols):
+
+def share(batches):
+    """Rows sorted by (tok, n, s) to those whose token a set of matching size has too. ``up``
+    tells whether one such set is as large or larger."""
+    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last"]):
         fresh = np.ones(len(cols["tok"]), bool)
         fresh[1:] = (cols["tok"][1:] != cols["tok"][:-1]) | (cols["s"][1:] != cols["s"][:-1])
         cols = {k: v[fresh] for k, v in cols.items()}
-        tok, n = cols["tok"], cols["n"]
-        d, at = 1, np.arange(len(tok))
+        after, before, up = partners(cols["tok"], cols["n"], cols["s"])
+        keep = after | before
+        out = [*(cols[k][keep] for k in ("tok", "s", "n", "h", "last")), up[keep].astype(np.int32)]
+        yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in SHARED.split(", ")]))
+
+
+def partners(tok: np.ndarray, n: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by (tok, n): whether a later or an earlier row has the token, another
+    group and a matching size; and whether one at least as large does."""
+    n, last = n.astype(np.int64), len(tok)
+    change = np.nonzero((group[1:] != group[:-1]) | (tok[1:] != tok[:-1]))[0] + 1
+    place = np.arange(last)
+    after = np.append(change, last)[np.searchsorted(change, place, side="right")]
+    at = np.minimum(after, max(0, last - 1))
+    later = (after < last) & (tok[at] == tok) & near_size(n, n[at])
+    before = np.insert(change, 0, 0)[np.searchsorted(change, place, side="right")] - 1
+    at = np.maximum(before, 0)
+    earlier = (before >= 0) & (tok[at] == tok) & near_size(n[at], n)
+    return later, earlier, later | (earlier & (n[at] == n))
+
+
+def share_apart(batches):
+    """Rows sorted by (tok, n, s) to those whose token a set of matching size in another
+    component has too; ``up`` as before."""
+    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last", "root"]):
+        after, before, up = partners(cols["tok"], cols["n"], cols["root"])
+        keep = after | before
+        out = [*(cols[k][keep] for k in ("tok", "s", "n", "h", "last")), up[keep].astype(np.int32), cols["root"][keep]]
+        yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in APART.split(", ")]))
+
+
+def pair_up(batches):
+    """Rows sorted by (tok, n, s) to pairs (smaller, larger) of sets in different components
+    that share a token, can match in size, and whose smaller one is able (of equal sizes, both)."""
+    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last", "root", "able"]):
+        tok, n, able, root = cols["tok"], cols["n"].astype(np.int64), cols["able"].astype(bool), cols["root"]
+        at, d = np.nonzero(able)[0], 1
         while True:
-            at = at[: np.searchsorted(at, len(tok) - d)]
-            at = at[tok[at] == tok[at + d]] if len(at) else at
+            at = at[at + d < len(tok)]
+            at = at[(tok[at] == tok[at + d]) & near_size(n[at], n[at + d])]
             if not len(at):
-                return
-            near = at[DEN * np.minimum(n[at], n[at + d]) >= NUM * np.maximum(n[at], n[at + d])]
-            if len(near):
-                a, b = near, near + d
-                out = [cols["s"][a], cols["s"][b], *(cols[k][i].astype(np.int32) for k in ("n", "h", "last") for i in (a, b))]
+                break
+            a = at[(able[at + d] | (n[at + d] > n[at])) & (root[at] != root[at + d])]
+            if len(a):
+                out = [cols["s"][a], cols["s"][a + d], *(cols[k][i] for k in ("n", "h", "last") for i in (a, a + d))]
                 yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in PAIRS.split(", ")]))
             d += 1
 
-    for batch in batches:
-        cols = {k: np.asarray(batch.column(k)) for k in names}
-        if held is not None:
-            cols = {k: np.concatenate([held[k], cols[k]]) for k in names}
-        if not len(cols["tok"]):
-            continue
-        cut = int(np.searchsorted(cols["tok"], cols["tok"][-1]))  # the last token may go on
-        held = {k: v[cut:] for k, v in cols.items()}
-        yield from pairs({k: v[:cut] for k, v in cols.items()})
-    if held is not None:
-        yield from pairs(held)
-
 
 def need(nx, ny):
     """The least overlap of a linked pair: ceil(t / (1 + t) * (nx + ny))."""
@@ -145,29 +204,54 @@ def plausible(pairs: DataFrame) -> DataFrame:
     spare = F.col("c") + F.least("hx", "hy")
 
     def fits(n):
-        p = n - F.ceil(NUM * n / F.lit(float(DEN)) - 1e-9).cast("int") + 1
-        return p - spare <= n - need(F.col("nx"), F.col("ny"))
+        return prefix(n) - spare <= n - need(F.col("nx"), F.col("ny"))
 
     ok = F.when(F.col("lx") < F.col("ly"), fits(F.col("nx"))).when(F.col("ly") < F.col("lx"), fits(F.col("ny"))).otherwise(F.lit(True))
     return counted.filter(ok).select("x", "y", "c")
 
 
-def full_sets(batches):
-    for batch in batches:
-        rows = []
-        for i, s in each_set(batch):
-            p = prefix_size(len(s)) if len(s) else 0
-            b, c = (np.sort(np.sort(shingles.mix(s ^ k))[:p]) for k in ORDERS)
-            rows.append((i, s.tobytes(), b.tobytes(), c.tobytes()))
-            if len(rows) == 500:
-                yield set_batch(batch, rows)
-                rows = []
-        yield set_batch(batch, rows)
+def prefix(n):
+    return n - F.ceil(NUM * n / F.lit(float(DEN)) - 1e-9).cast("int") + 1
+
+
+def fetch_sets(texts: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, items): the whole shingle sets of the wanted classes, one text of each.
+
+    Texts are not shuffled: a scan keeps those that a bitmap of fixed size (1 MB) may hold
+    and a semi-join on the ids of their sets drops the false hits.
+    """
+    reps = docs.groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(wanted, "s")
+    slot = F.pmod(F.xxhash64("r.doc_id", "r.th"), F.lit(SLOTS))
+    words = reps.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()  # SLOTS / 64 rows at most
+    bits = np.zeros(SLOTS // 64, np.uint64)
+    bits[np.asarray(words.column("w"), dtype=np.int64)] = np.asarray(words.column("bits"), dtype=np.int64).view(np.uint64)
+    held = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches):
+        for batch in batches:
+            at = np.asarray(batch.column("slot"), dtype=np.int64)
+            hit = (held.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+            batch = batch.take(pa.array(np.nonzero(hit)[0]))
+            rows = []
+            for _, s in each_set(batch):
+                rows.append((set_id(s), s.tobytes()))
+                if len(rows) == 500:
+                    yield set_batch(rows)
+                    rows = []
+            yield set_batch(rows)
+
+    found = texts.select("text", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS)).alias("slot")).mapInArrow(scan, "s long, items binary")
+    return park(found.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "sets")
+
 
+def set_batch(rows):
+    c = list(zip(*rows)) if rows else [()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], ["s", "items"])
 
-def set_batch(batch, rows):
-    c = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([batch.column("s").take(pa.array(c[0], pa.int64())), *(pa.array(x, pa.binary()) for x in c[1:])], ["s", "items", "b", "c"])
+
+def other_prefix(s: np.ndarray, order: np.uint64) -> np.ndarray:
+    """The prefix of a set under another order of all tokens."""
+    return np.sort(np.sort(shingles.mix(s ^ order))[: prefix_size(len(s))])
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> int:
@@ -183,23 +267,28 @@ def meet(a: np.ndarray, b: np.ndarray) -> int:
 def verify_pairs(batches):
     for batch in batches:
         keep = []
-        cols = {k: binary_views(batch.column(k)) for k in ("ix", "bx", "cx", "iy", "by", "cy")}
+        left, right = binary_views(batch.column("ix")), binary_views(batch.column("iy"))
         for i in range(batch.num_rows):
-            v = {k: np.frombuffer(c[i], np.uint64) for k, c in cols.items()}
-            if meet(v["bx"], v["by"]) and meet(v["cx"], v["cy"]):  # orders B and C, before the sets
-                both = meet(v["ix"], v["iy"])
-                if DEN * both >= NUM * (len(v["ix"]) + len(v["iy"]) - both):
+            x, y = np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64)
+            if all(meet(other_prefix(x, k), other_prefix(y, k)) for k in ORDERS):  # orders B and C, before the sets
+                both = meet(x, y)
+                if DEN * both >= NUM * (len(x) + len(y) - both):
                     keep.append(i)
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["x", "y"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("s").alias("x"), F.col("items").alias("ix"), F.col("b").alias("bx"), F.col("c").alias("cx"))
-    right = sets.select(F.col("s").alias("y"), F.col("items").alias("iy"), F.col("b").alias("by"), F.col("c").alias("cy"))
+    sets = sets.join(ends(pairs), "s", "left_semi")
+    left = sets.select(F.col("s").alias("x"), F.col("items").alias("ix"))
+    right = sets.select(F.col("s").alias("y"), F.col("items").alias("iy"))
     return park(pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(verify_pairs, "x long, y long"), "links")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("s")).union(pairs.select(F.col("y").alias("s"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(s, root): the smallest node that each node of an edge reaches, by alternating
     large-star and small-star rounds; a logarithmic number of rounds even for chains."""
@@ -218,49 +307,106 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def able_sets(rows: DataFrame) -> DataFrame:
+    """(s, able, lacks) from (s, n, h, up) rows. Of a linked pair, the smaller set has at most
+    n - need(n, n) tokens that the larger lacks; ``lacks`` is the share of a set's prefix
+    that no set of matching size has."""
+    per = rows.groupBy("s").agg(F.sum("up").alias("c"), F.first("n").alias("n"), F.first("h").alias("h"))
+    lacks = prefix(F.col("n")) - F.col("c") - F.col("h")
+    return per.select("s", (lacks <= F.col("n") - need(F.col("n"), F.col("n"))).alias("able"), (lacks / F.col("n")).alias("lacks"))
+
+
+def star_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Distinct (x, y) of each row's set and its token's hub, if they can match in size and
+    the smaller one is able."""
+    fit = (DEN * F.least("n", "hn") >= NUM * F.greatest("n", "hn")) & (F.col("able") | (F.col("n") > F.col("hn"))) & (F.col("ha") | (F.col("hn") > F.col("n")))
+    return rows.join(hubs, "tok").filter((F.col("s") != F.col("hs")) & fit).select(F.least("s", "hs").alias("x"), F.greatest("s", "hs").alias("y")).distinct()
+
+
+def placed_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+
+
+def largest_parts(placed: DataFrame) -> DataFrame:
+    """(tok, giant): the component with most of a token's sets, for tokens in several."""
+    return placed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("tok", F.col("top.root").alias("giant"))
+
+
 def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with s and n; (s, root) of the classes that are linked to another)."""
     spark = texts.sparkSession
-    tokens = texts.select("text").mapInArrow(count_tokens, "tok long").groupBy("tok").count().filter(F.col("count") > HEAVY_DF)
-    often = tokens.orderBy(F.col("count").desc(), "tok").limit(HEAVY_MOST).select("tok").toArrow()  # bounded
+    small_batches(spark)
+    tokens = texts.select("text").mapInArrow(count_tokens, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") > HEAVY_DF)
+    often = tokens.orderBy(F.col("n").desc(), "tok").limit(HEAVY_MOST).select("tok").toArrow()  # bounded
     heavy = spark.sparkContext.broadcast(np.sort(np.asarray(often.column("tok"), dtype=np.int64).view(np.uint64)))
-    release(spark)
     docs = park(texts.mapInArrow(splitter(heavy), "doc_id long, th long, s long, n int, last int, light array<long>, heavy array<long>"), "prefixes")
     rows = docs.filter("n > 0").select("s", "n", F.size("heavy").alias("h"), "last", "light", "heavy")
     light = rows.select(F.explode("light").alias("tok"), "s", "n", "h", "last")
-    found = light.repartition("tok").sortWithinPartitions("tok", "s").mapInArrow(pair_up, PAIRS)
-    close = park(plausible(found), "pairs")
+    shared = park(light.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(share, SHARED), "shared")
     release(spark)
-    earlier = F.expr("transform(heavy, (t, i) -> struct(t AS tok, CASE WHEN i > 0 THEN heavy[i - 1] END AS prev))")
-    deep = park(rows.filter("h > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("heavy").alias("heavy")).select("s", "n", "h", F.explode(earlier).alias("e")).select("e.tok", "e.prev", "s", "n", "h"), "heavy")
-    hub = deep.groupBy("tok").agg(F.max(F.struct((F.col("h") / F.col("n")).alias("f"), "s", "n")).alias("hub"), F.min("s").alias("a"), F.max("s").alias("b")).filter("a <> b").select("tok", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"))
-    fit = DEN * F.least("n", "hn") >= NUM * F.greatest("n", "hn")
-    stars = deep.join(hub, "tok").filter((F.col("s") != F.col("hs")) & fit).select(F.least("s", "hs").alias("x"), F.greatest("s", "hs").alias("y")).distinct()
-    sides = close.select(F.col("x").alias("k"), "c", "x", "y").union(close.select(F.col("y").alias("k"), "c", "x", "y"))
-    best = sides.groupBy("k").agg(F.max(F.struct("c", "x", "y")).alias("p")).select("p.x", "p.y")
-    first = park(stars.union(best).distinct(), "first-pairs")
-    wanted = close.select(F.col("x").alias("s")).union(close.select(F.col("y").alias("s"))).union(deep.join(hub, "tok").select("s")).distinct()
-    reps = docs.groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(wanted, "s").select("s", F.col("r.doc_id").alias("d"), F.col("r.th").alias("t"))
-    asked = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("s", "text")
-    sets = park(asked.mapInArrow(full_sets, "s long, items binary, b binary, c binary").dropDuplicates(["s"]), "sets")
+    often_rows = park(rows.filter("h > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("last").alias("last"), F.first("heavy").alias("heavy")), "heavy-sets")
+    no = F.lit(0).alias("up")
+    able = park(able_sets(often_rows.select("s", "n", "h", no).union(shared.select("s", "n", "h", "up"))), "able")
+    before = F.expr("transform(heavy, (t, i) -> struct(t AS tok, CASE WHEN i > 0 THEN slice(heavy, greatest(i - 7, 1), least(i, 8)) ELSE array() END AS prev, i))")
+    deep = often_rows.select("s", "n", "h", F.explode(before).alias("e")).select("e.tok", "e.prev", "s", "n", "h", (prefix(F.col("n")) - F.col("h") + F.col("e.i")).alias("pos"))
+    deep = park(deep.join(able, "s"), "heavy")
+
+    # first, sets meet the most central one of each of their light tokens, the one with the
+    # fewest tokens of its own, and one of each heavy token drawn by lot, eight lots in all
+    every = shared.select("tok", "s", "n").join(able, "s").withColumn("lot", F.lit(0).cast("long"))
+    every = every.union(deep.select("s", "tok", "n", "able", "lacks", F.xxhash64("s", F.pmod("tok", F.lit(8))).alias("lot")))
+    hubs = every.groupBy("tok").agg(F.min(F.struct("lot", "lacks", "s", "n", "able")).alias("hub"), F.max("able").alias("some")).filter("some")
+    hubs = hubs.select("tok", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"), F.col("hub.able").alias("ha"))
+    first = park(star_pairs(every, hubs), "first-pairs")
+    release(spark)
+    sets = fetch_sets(texts, docs, ends(first))
     release(spark)
     links = verify(first, sets)
     roots = components(links)
     release(spark)
-    # what is still apart: the other light pairs, and heavy tokens whose texts are in several components
-    apart = close.join(roots.select(F.col("s").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("s").alias("y"), F.col("root").alias("ry")), "y", "left")
-    apart = apart.filter(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
-    placed = deep.join(hub.select("tok"), "tok").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    placed = park(placed, "placed")
-    sizes = placed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    some = placed.join(sizes.select("tok", F.col("top.root").alias("giant")), "tok")
-    odd = some.filter("root <> giant").select("tok", F.col("s").alias("s1"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("prev").alias("p1"))
-    cross = odd.join(some, "tok").filter((F.col("r1") != F.col("root")) & (DEN * F.least("n", "n1") >= NUM * F.greatest("n", "n1")) & ~F.coalesce(F.col("prev") == F.col("p1"), F.lit(False)))
-    cross = cross.select(F.least("s", "s1").alias("x"), F.greatest("s", "s1").alias("y")).distinct()
-    second = park(apart.union(cross).distinct().join(first, ["x", "y"], "left_anti"), "second-pairs")
-    more = verify(second, sets)
+
+    # then sets outside a token's largest component meet members of it drawn by token
+    every = placed_rows(every, roots).join(largest_parts(placed_rows(every, roots)), "tok")
+    drawn = every.filter("root = giant").groupBy("tok").agg(F.max(F.struct(F.xxhash64("s", "tok").alias("k"), "s", "n", "able")).alias("hub"))
+    drawn = drawn.select("tok", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"), F.col("hub.able").alias("ha"))
+    apart = park(able_apart(placed_rows(shared.drop("up"), roots), often_rows), "apart")
+    drawn_pairs = park(star_pairs(every.filter("root <> giant").drop("able").join(apart.select("s", "able"), "s"), drawn).join(first, ["x", "y"], "left_anti"), "drawn-pairs")
+    more = fetch_sets(texts, docs, ends(drawn_pairs).join(sets.select("s"), "s", "left_anti"))
+    sets = sets.union(more)
+    links = links.union(verify(drawn_pairs, sets))
+    roots = components(links)
+    first = first.union(drawn_pairs)
+    release(spark)
+
+    # what is still apart is compared in full: pairs that share enough tokens across components
+    placed = placed_rows(shared.drop("up"), roots)
+    able = park(able_apart(placed, often_rows), "apart")
+    marked = placed.join(able, "s").withColumn("able", F.col("able").cast("int"))
+    found = marked.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(pair_up, PAIRS)
+    close = plausible(found).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    deep = placed_rows(deep.drop("able", "lacks"), roots).join(able, "s")
+    deep = park(deep.join(largest_parts(deep), "tok").withColumn("odd", F.col("root") != F.col("giant")), "placed")
+    small = deep.filter("able").select("tok", F.col("s").alias("s1"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("prev").alias("p1"), F.col("pos").alias("i1"), F.col("odd").alias("o1"))
+    other = deep.select("tok", "s", "n", "root", "prev", "pos", "odd", "able")
+    wide = small.filter("o1").join(other, "tok").union(small.filter("NOT o1").join(other.filter("odd"), "tok"))
+    # the first token of order A that two sets share has no common token before it (the eight
+    # before it are compared) and so few before it at all that the rest can still be enough
+    least = need(F.col("n1"), F.col("n"))
+    wide = wide.filter((F.col("i1") <= F.col("n1") - least) & (F.col("pos") <= F.col("n") - least))
+    cross = wide.filter((F.col("r1") != F.col("root")) & (F.col("n") >= F.col("n1")) & (DEN * F.col("n1") >= NUM * F.col("n")) & ((F.col("n") > F.col("n1")) | F.col("able")) & ~F.arrays_overlap("prev", "p1"))
+    cross = cross.select(F.least("s", "s1").alias("x"), F.greatest("s", "s1").alias("y"))
+    second = park(close.union(cross).distinct().join(first, ["x", "y"], "left_anti"), "second-pairs")
+    release(spark)
+    more = fetch_sets(texts, docs, ends(second).join(sets.select("s"), "s", "left_anti"))
+    links = links.union(verify(second, sets.union(more)))
     release(spark)
-    return docs.select("doc_id", "th", "s", "n"), components(links.union(more))
+    return docs.select("doc_id", "th", "s", "n"), components(links)
+
+
+def able_apart(placed: DataFrame, often_rows: DataFrame) -> DataFrame:
+    """``able_sets`` by tokens that sets of other components have; every heavy token counts as such."""
+    rows = placed.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(share_apart, APART)
+    return able_sets(often_rows.select("s", "n", "h", F.lit(0).alias("up")).union(rows.select("s", "n", "h", "up")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,4 +445,13 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES, ORACLE_SQL = {"op3_jaccard": op3_jaccard}, {}
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1
+"""
+QUERIES, ORACLE_SQL = {"op3_jaccard": op3_jaccard}, {"op3_jaccard": ORACLE}

@@ -71,7 +71,7 @@ def sets_of(views: list, k: int) -> list[np.ndarray]:
     return out
 
 
-def ranges(views: list, most: int = 2_000_000):
+def ranges(views: list, most: int = 500_000):
     """Ranges of texts of about ``most`` bytes."""
     a = total = 0
     for i, v in enumerate(views):
