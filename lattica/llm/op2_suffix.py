@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import deepshallow
-from lattica.llm.common import binary_views, park, table, text_of
+from lattica.llm.common import binary_views, park, small_batches, table, text_of, worker_state
 
 WINDOW, GRAM = 400, 64
 REACH = WINDOW - GRAM + 1  # gram starts in a window
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 GROUP = 4096  # contexts of one gram that one task sorts together
 BATCH = 12_000
 LEVELS = (64, 8, 1)
@@ -119,6 +119,7 @@ ANCHORS = "doc_id long, h long, key long, dg binary, at int, p1 int, p2 int"
 
 
 def find_anchors(batches):
+    worker_state("none", dict)  # a reused worker frees what another operator kept
     for batch in batches:
         views = binary_views(batch.column("text"))
         for a, b in chunks(views):
@@ -325,6 +326,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns of ``docs`` stay; clashing ones of the four new names are replaced.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    small_batches(docs.sparkSession)
     docs = docs.drop(*made)
     ided = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
     spans = repeated_spans(ided.select("doc_id", "h", "text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import binary_views, table, text_of
+from lattica.llm.common import binary_views, small_batches, table, text_of, worker_state
 
 # Group terms whose exchange must not change a score; the last stands for no group.
 IDENTITY = (
@@ -19,7 +19,7 @@ IDENTITY = (
 ).split()
 CUT = 0.3
 SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
-CACHE = 400_000
+CACHE = 200_000
 
 
 def features(word: bytes) -> list[int]:
@@ -153,10 +153,11 @@ def score_documents(docs: DataFrame, model: Linear, cut: float = CUT) -> DataFra
     """
     weights, bias = (np.array(list(model.weights), np.uint32), np.array(list(model.weights.values()))), model.bias
     docs = docs.drop("held_out", "score", "predicted")
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def rate(text: pa.Array) -> pa.Array:
-        linear = _workers.get(key) or _workers.setdefault(key, Linear(*weights, bias))
+        linear = worker_state(("linear", key), lambda: Linear(*weights, bias))
         return pa.array([linear.score(v) for v in binary_views(text)], pa.float64())
 
     key = zlib.crc32(weights[1].tobytes() + np.float64(bias).tobytes())
@@ -164,9 +165,6 @@ def score_documents(docs: DataFrame, model: Linear, cut: float = CUT) -> DataFra
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-_workers: dict[int, Linear] = {}
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
