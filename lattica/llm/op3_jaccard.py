@@ -393,7 +393,7 @@ def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # before it are compared) and so few before it at all that the rest can still be enough
     least = need(F.col("n1"), F.col("n"))
     wide = wide.filter((F.col("i1") <= F.col("n1") - least) & (F.col("pos") <= F.col("n") - least))
-    cross = wide.filter((F.col("r1") != F.col("root")) & (F.col("n") >= F.col("n1")) & (DEN * F.col("n1") >= NUM * F.col("n")) & ((F.col("n") > F.col("n1")) | F.col("able")) & ~F.arrays_overlap("prev", "p1"))
+    cross = wide.filter((F.col("r1") != F.col("root")) & (F.col("n") >= F.col("n1")) & (DEN * F.col("n1") >= NUM * F.col("n")) & ((F.col("n") > F.col("n1")) | (F.col("able") & (F.col("s1") < F.col("s")))) & ~F.arrays_overlap("prev", "p1"))
     cross = cross.select(F.least("s", "s1").alias("x"), F.greatest("s", "s1").alias("y"))
     second = park(close.union(cross).distinct().join(first, ["x", "y"], "left_anti"), "second-pairs")
     release(spark)
