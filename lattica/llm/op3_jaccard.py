@@ -93,12 +93,12 @@ def splitter(heavy):
                 light = s[~is_heavy][:p]
                 rest = s[is_heavy][: p - len(light)]
                 end = rest[-1] if len(rest) else light[-1] if len(light) else np.uint64(0)
-                last = int(end >> np.uint64(34)) + (1 << 30) * bool(len(rest))
+                last = int(end >> np.uint64(1)) - (1 << 63) * (not len(rest))  # where the prefix ends in order A
                 rows.append((i, set_id(s) if n else 0, n, last, light.view(np.int64), rest.view(np.int64)))
             c = list(zip(*rows)) if rows else [()] * 6
             at = pa.array(c[0], pa.int64())
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), lists(c[4]), lists(c[5])],
+                [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), lists(c[4]), lists(c[5])],
                 ["doc_id", "th", "s", "n", "last", "light", "heavy"],
             )
             yield from slices(out, 2000)
@@ -111,9 +111,9 @@ def lists(arrays) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.zeros(0, np.int64), pa.int64()))
 
 
-SHARED = "tok long, s long, n int, h int, last int, up int"
+SHARED = "tok long, s long, n int, up int"
 APART = SHARED + ", root long"
-PAIRS = "x long, y long, nx int, ny int, hx int, hy int, lx int, ly int"
+PAIRS = "x long, y long, nx int, ny int, hx int, hy int, lx long, ly long"
 
 
 def whole_tokens(batches, names: list[str]):
@@ -138,13 +138,13 @@ def near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 def share(batches):
     """Rows sorted by (tok, n, s) to those whose token a set of matching size has too. ``up``
     tells whether one such set is as large or larger."""
-    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last"]):
+    for cols in whole_tokens(batches, ["tok", "s", "n"]):
         fresh = np.ones(len(cols["tok"]), bool)
         fresh[1:] = (cols["tok"][1:] != cols["tok"][:-1]) | (cols["s"][1:] != cols["s"][:-1])
         cols = {k: v[fresh] for k, v in cols.items()}
         after, before, up = partners(cols["tok"], cols["n"], cols["s"])
         keep = after | before
-        out = [*(cols[k][keep] for k in ("tok", "s", "n", "h", "last")), up[keep].astype(np.int32)]
+        out = [*(cols[k][keep] for k in ("tok", "s", "n")), up[keep].astype(np.int32)]
         yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in SHARED.split(", ")]))
 
 
@@ -166,25 +166,29 @@ def partners(tok: np.ndarray, n: np.ndarray, group: np.ndarray) -> tuple[np.ndar
 def share_apart(batches):
     """Rows sorted by (tok, n, s) to those whose token a set of matching size in another
     component has too; ``up`` as before."""
-    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last", "root"]):
+    for cols in whole_tokens(batches, ["tok", "s", "n", "root"]):
         after, before, up = partners(cols["tok"], cols["n"], cols["root"])
         keep = after | before
-        out = [*(cols[k][keep] for k in ("tok", "s", "n", "h", "last")), up[keep].astype(np.int32), cols["root"][keep]]
+        out = [*(cols[k][keep] for k in ("tok", "s", "n")), up[keep].astype(np.int32), cols["root"][keep]]
         yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in APART.split(", ")]))
 
 
 def pair_up(batches):
     """Rows sorted by (tok, n, s) to pairs (smaller, larger) of sets in different components
-    that share a token, can match in size, and whose smaller one is able (of equal sizes, both)."""
-    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last", "root", "able"]):
-        tok, n, able, root = cols["tok"], cols["n"].astype(np.int64), cols["able"].astype(bool), cols["root"]
-        at, d = np.nonzero(able)[0], 1
+    that share a token and whose sizes and prefixes do not rule out a link."""
+    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last", "root", "lacks_up", "lacks"]):
+        tok, n, last, root = cols["tok"], cols["n"].astype(np.int64), cols["last"], cols["root"]
+        at, d = np.arange(len(tok)), 1
         while True:
             at = at[at + d < len(tok)]
             at = at[(tok[at] == tok[at + d]) & near_size(n[at], n[at + d])]
             if not len(at):
                 break
-            a = at[(able[at + d] | (n[at + d] > n[at])) & (root[at] != root[at + d])]
+            z = at + d
+            most = n[at] - (NUM * (n[at] + n[z]) + NUM + DEN - 1) // (NUM + DEN)  # tokens the smaller set may lack
+            of_z = np.where(n[z] == n[at], cols["lacks_up"][z], cols["lacks"][z])
+            tie = last[at] == last[z]
+            a = at[((last[at] > last[z]) | (cols["lacks_up"][at] <= most + tie)) & ((last[z] > last[at]) | (of_z <= most + n[z] - n[at] + tie)) & (root[at] != root[z])]
             if len(a):
                 out = [cols["s"][a], cols["s"][a + d], *(cols[k][i] for k in ("n", "h", "last") for i in (a, a + d))]
                 yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in PAIRS.split(", ")]))
@@ -307,20 +311,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def able_sets(rows: DataFrame) -> DataFrame:
-    """(s, able, lacks) from (s, n, h, up) rows. Of a linked pair, the smaller set has at most
-    n - need(n, n) tokens that the larger lacks; ``lacks`` is the share of a set's prefix
-    that no set of matching size has."""
-    per = rows.groupBy("s").agg(F.sum("up").alias("c"), F.first("n").alias("n"), F.first("h").alias("h"))
-    lacks = prefix(F.col("n")) - F.col("c") - F.col("h")
-    return per.select("s", (lacks <= F.col("n") - need(F.col("n"), F.col("n"))).alias("able"), (lacks / F.col("n")).alias("lacks"))
+def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, n, h, last, lacks_up, lacks) of the sets with heavy tokens or (s, up) rows: how many
+    tokens of a set's prefix are in no prefix of a matching set that is as large or larger,
+    and of any matching set; every heavy token counts as being in one."""
+    per = rows.groupBy("s").agg(F.sum("up").alias("u"), F.count("*").alias("c"))
+    own = prefix(F.col("n")) - F.col("h")
+    per = sets.join(per, "s", "left").filter("h > 0 OR c > 0")
+    return per.select("s", "n", "h", "last", *[(own - F.coalesce(k, F.lit(0))).cast("int").alias(name) for k, name in (("u", "lacks_up"), ("c", "lacks"))])
+
+
+BOUNDS = ("n", "last", "lacks_up", "lacks")
+
+
+def bound():
+    return F.struct(*BOUNDS)
+
+
+def can_link(a, b):
+    """False if the prefixes rule a link out. Of the prefix that ends first in order A every
+    token the other set has is in the other's prefix, so all that ``lacks`` counts are missing
+    there. Ends are compared without their last bit: at a tie one token may lie behind."""
+    least = need(a["n"], b["n"])
+
+    def fits(s, t):
+        lacks = F.when(s["n"] <= t["n"], s["lacks_up"]).otherwise(s["lacks"])
+        return (s["last"] > t["last"]) | (lacks <= s["n"] - least + (s["last"] == t["last"]).cast("int"))
+
+    return fits(a, b) & fits(b, a) & (DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"]))
 
 
 def star_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct (x, y) of each row's set and its token's hub, if they can match in size and
-    the smaller one is able."""
-    fit = (DEN * F.least("n", "hn") >= NUM * F.greatest("n", "hn")) & (F.col("able") | (F.col("n") > F.col("hn"))) & (F.col("ha") | (F.col("hn") > F.col("n")))
-    return rows.join(hubs, "tok").filter((F.col("s") != F.col("hs")) & fit).select(F.least("s", "hs").alias("x"), F.greatest("s", "hs").alias("y")).distinct()
+    """Distinct (x, y) of each row's set and its token's hub, if they can link."""
+    return rows.join(hubs, "tok").filter((F.col("s") != F.col("hs")) & can_link(F.col("b"), F.col("hb"))).select(F.least("s", "hs").alias("x"), F.greatest("s", "hs").alias("y")).distinct()
 
 
 def placed_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -339,24 +362,25 @@ def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = texts.select("text").mapInArrow(count_tokens, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") > HEAVY_DF)
     often = tokens.orderBy(F.col("n").desc(), "tok").limit(HEAVY_MOST).select("tok").toArrow()  # bounded
     heavy = spark.sparkContext.broadcast(np.sort(np.asarray(often.column("tok"), dtype=np.int64).view(np.uint64)))
-    docs = park(texts.mapInArrow(splitter(heavy), "doc_id long, th long, s long, n int, last int, light array<long>, heavy array<long>"), "prefixes")
+    docs = park(texts.mapInArrow(splitter(heavy), "doc_id long, th long, s long, n int, last long, light array<long>, heavy array<long>"), "prefixes")
     rows = docs.filter("n > 0").select("s", "n", F.size("heavy").alias("h"), "last", "light", "heavy")
-    light = rows.select(F.explode("light").alias("tok"), "s", "n", "h", "last")
+    light = rows.select(F.explode("light").alias("tok"), "s", "n")
     shared = park(light.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(share, SHARED), "shared")
     release(spark)
-    often_rows = park(rows.filter("h > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("last").alias("last"), F.first("heavy").alias("heavy")), "heavy-sets")
-    no = F.lit(0).alias("up")
-    able = park(able_sets(often_rows.select("s", "n", "h", no).union(shared.select("s", "n", "h", "up"))), "able")
+    often_rows = park(rows.filter("h > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("heavy").alias("heavy")), "heavy-sets")
+    whole = rows.select("s", "n", "h", "last").dropDuplicates(["s"])
+    known = park(bounds(whole, shared), "bounds")
+    mark = known.select("s", bound().alias("b"))
     before = F.expr("transform(heavy, (t, i) -> struct(t AS tok, CASE WHEN i > 0 THEN slice(heavy, greatest(i - 7, 1), least(i, 8)) ELSE array() END AS prev, i))")
     deep = often_rows.select("s", "n", "h", F.explode(before).alias("e")).select("e.tok", "e.prev", "s", "n", "h", (prefix(F.col("n")) - F.col("h") + F.col("e.i")).alias("pos"))
-    deep = park(deep.join(able, "s"), "heavy")
+    deep = park(deep, "heavy")
 
     # first, sets meet the most central one of each of their light tokens, the one with the
     # fewest tokens of its own, and one of each heavy token drawn by lot, eight lots in all
-    every = shared.select("tok", "s", "n").join(able, "s").withColumn("lot", F.lit(0).cast("long"))
-    every = every.union(deep.select("s", "tok", "n", "able", "lacks", F.xxhash64("s", F.pmod("tok", F.lit(8))).alias("lot")))
-    hubs = every.groupBy("tok").agg(F.min(F.struct("lot", "lacks", "s", "n", "able")).alias("hub"), F.max("able").alias("some")).filter("some")
-    hubs = hubs.select("tok", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"), F.col("hub.able").alias("ha"))
+    every = shared.select("tok", "s", F.lit(0).cast("long").alias("lot"))
+    every = every.union(deep.select("tok", "s", F.xxhash64("s", F.pmod("tok", F.lit(8))).alias("lot"))).join(mark, "s")
+    hubs = every.groupBy("tok").agg(F.min(F.struct("lot", F.col("b.lacks_up") / F.col("b.n"), "s", "b")).alias("hub"))
+    hubs = hubs.select("tok", F.col("hub.s").alias("hs"), F.col("hub.b").alias("hb"))
     first = park(star_pairs(every, hubs), "first-pairs")
     release(spark)
     sets = fetch_sets(texts, docs, ends(first))
@@ -367,10 +391,10 @@ def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # then sets outside a token's largest component meet members of it drawn by token
     every = placed_rows(every, roots).join(largest_parts(placed_rows(every, roots)), "tok")
-    drawn = every.filter("root = giant").groupBy("tok").agg(F.max(F.struct(F.xxhash64("s", "tok").alias("k"), "s", "n", "able")).alias("hub"))
-    drawn = drawn.select("tok", F.col("hub.s").alias("hs"), F.col("hub.n").alias("hn"), F.col("hub.able").alias("ha"))
-    apart = park(able_apart(placed_rows(shared.drop("up"), roots), often_rows), "apart")
-    drawn_pairs = park(star_pairs(every.filter("root <> giant").drop("able").join(apart.select("s", "able"), "s"), drawn).join(first, ["x", "y"], "left_anti"), "drawn-pairs")
+    drawn = every.filter("root = giant").groupBy("tok").agg(F.max(F.struct(F.xxhash64("s", "tok").alias("k"), "s", "b")).alias("hub"))
+    drawn = drawn.select("tok", F.col("hub.s").alias("hs"), F.col("hub.b").alias("hb"))
+    apart = park(bounds_apart(placed_rows(shared.drop("up"), roots), known), "apart")
+    drawn_pairs = park(star_pairs(every.filter("root <> giant").drop("b").join(apart.select("s", bound().alias("b")), "s"), drawn).join(first, ["x", "y"], "left_anti"), "drawn-pairs")
     more = fetch_sets(texts, docs, ends(drawn_pairs).join(sets.select("s"), "s", "left_anti"))
     sets = sets.union(more)
     links = links.union(verify(drawn_pairs, sets))
@@ -380,20 +404,20 @@ def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # what is still apart is compared in full: pairs that share enough tokens across components
     placed = placed_rows(shared.drop("up"), roots)
-    able = park(able_apart(placed, often_rows), "apart")
-    marked = placed.join(able, "s").withColumn("able", F.col("able").cast("int"))
+    apart = park(bounds_apart(placed, known), "apart")
+    marked = placed.join(apart.drop("n"), "s")
     found = marked.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(pair_up, PAIRS)
     close = plausible(found).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    deep = placed_rows(deep.drop("able", "lacks"), roots).join(able, "s")
+    deep = placed_rows(deep, roots).join(apart.select("s", bound().alias("b")), "s")
     deep = park(deep.join(largest_parts(deep), "tok").withColumn("odd", F.col("root") != F.col("giant")), "placed")
-    small = deep.filter("able").select("tok", F.col("s").alias("s1"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("prev").alias("p1"), F.col("pos").alias("i1"), F.col("odd").alias("o1"))
-    other = deep.select("tok", "s", "n", "root", "prev", "pos", "odd", "able")
+    small = deep.select("tok", F.col("s").alias("s1"), F.col("n").alias("n1"), F.col("b").alias("b1"), F.col("root").alias("r1"), F.col("prev").alias("p1"), F.col("pos").alias("i1"), F.col("odd").alias("o1"))
+    other = deep.select("tok", "s", "n", "root", "prev", "pos", "odd", "b")
     wide = small.filter("o1").join(other, "tok").union(small.filter("NOT o1").join(other.filter("odd"), "tok"))
     # the first token of order A that two sets share has no common token before it (the eight
     # before it are compared) and so few before it at all that the rest can still be enough
     least = need(F.col("n1"), F.col("n"))
     wide = wide.filter((F.col("i1") <= F.col("n1") - least) & (F.col("pos") <= F.col("n") - least))
-    cross = wide.filter((F.col("r1") != F.col("root")) & (F.col("n") >= F.col("n1")) & (DEN * F.col("n1") >= NUM * F.col("n")) & ((F.col("n") > F.col("n1")) | (F.col("able") & (F.col("s1") < F.col("s")))) & ~F.arrays_overlap("prev", "p1"))
+    cross = wide.filter((F.col("r1") != F.col("root")) & ((F.col("n") > F.col("n1")) | ((F.col("n") == F.col("n1")) & (F.col("s1") < F.col("s")))) & can_link(F.col("b1"), F.col("b")) & ~F.arrays_overlap("prev", "p1"))
     cross = cross.select(F.least("s", "s1").alias("x"), F.greatest("s", "s1").alias("y"))
     second = park(close.union(cross).distinct().join(first, ["x", "y"], "left_anti"), "second-pairs")
     release(spark)
@@ -403,10 +427,10 @@ def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.select("doc_id", "th", "s", "n"), components(links)
 
 
-def able_apart(placed: DataFrame, often_rows: DataFrame) -> DataFrame:
-    """``able_sets`` by tokens that sets of other components have; every heavy token counts as such."""
+def bounds_apart(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """``bounds`` by tokens that sets of other components have."""
     rows = placed.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(share_apart, APART)
-    return able_sets(often_rows.select("s", "n", "h", F.lit(0).alias("up")).union(rows.select("s", "n", "h", "up")))
+    return bounds(known.select("s", "n", "h", "last"), rows)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -117,6 +117,21 @@ def test_near_duplicates(spark, monkeypatch, heavy):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+@pytest.mark.parametrize("heavy", [40, 2, 1])
+def test_near_duplicates_of_unequal_size(spark, monkeypatch, heavy):
+    """Documents that another extends by a quarter at most, plain or with a passage that many quote."""
+    monkeypatch.setattr(op3_jaccard, "HEAVY_DF", heavy)
+    rng = random.Random(5)
+    texts, passages = [], [words(9, rng, 4000), words(40, rng, 4000)]
+    for size, more in [(8, 2)] * 60 + [(16, 4)] * 30 + [(80, 20)] * 15 + [(8, 3), (80, 21)] * 5:
+        quoted = rng.choice(["", "", *passages])
+        own = max(0, size + 4 - len(quoted.split()))
+        x = f"{words(own, rng, 4000)} {quoted}".split()[-size - 4 :]
+        texts += rng.sample([" ".join(x), " ".join([*x, *words(more, rng, 4000).split()])], 2)
+    df, want = docs(spark, texts), classes(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard.near_duplicates(df).collect()} == want
+
+
 def test_near_duplicates_edge_rows(spark):
     rng = random.Random(2)
     a = words(40, rng)
