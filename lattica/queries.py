@@ -237,7 +237,7 @@ def cyclic_core(spark, d):
 
 @query("graph_cycle_path")
 def cycle_path(spark, d):
-    return spark.createDataFrame(list(enumerate(K.cycle_path(G.trade(spark, d)))), "ord long, id string")
+    return spark.createDataFrame(list(enumerate(K.cycle_path(G.trade(spark, d, None)))), "ord long, id string")
 
 
 @query("graph_components", f"WITH RECURSIVE {FK}, t AS (SELECT id AS root, id FROM fk_v WHERE id LIKE 'R:%' UNION ALL SELECT root, dst FROM t JOIN fk_e ON src = id), m AS (SELECT root, min(id) AS component FROM t GROUP BY 1) SELECT id, component FROM t JOIN m USING (root)")
@@ -297,7 +297,7 @@ def pagerank(spark, d):
 
 @query("graph_max_flow")
 def max_flow(spark, d):
-    value, _, cut = K.max_flow(G.trade(spark, d), "N:0", "N:7")
+    value, _, cut = K.max_flow(G.trade(spark, d, None), "N:0", "N:7")
     return cut.withColumn("max_flow", F.lit(value))
 
 

@@ -45,10 +45,12 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").select(tagged("N", "n_nationkey").alias("id"), F.col("n_name").alias("label"))
 
 
-def trade(spark: SparkSession, d: str, partners: int = 3) -> PropertyGraph:
-    """Directed: each nation's largest customers by quantity."""
-    w = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
-    top = shipments(spark, d).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= partners).drop("_r")
+def trade(spark: SparkSession, d: str, partners: int | None = 3) -> PropertyGraph:
+    """Directed: each nation's largest customers by quantity; all of them if partners is None."""
+    top = shipments(spark, d)
+    if partners is not None:
+        w = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
+        top = top.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= partners).drop("_r")
     return PropertyGraph.of(nations(spark, d), top).materialize()
 
 
