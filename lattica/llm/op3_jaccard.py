@@ -2,14 +2,16 @@
 
 Texts of equal shingle set form one class. If two sets have a Jaccard similarity of t or
 more, then under every order of all tokens the first n - ceil(t n) + 1 tokens of each
-hold a common token. Order A puts tokens that many texts share last and the rest by hash,
-so that a prefix rarely holds a passage that many texts quote; orders B and C are by
-other hashes. A pair is verified only if it meets A (found by a join on tokens, then
-bounded by how many prefix tokens match) and B and C. Links become components.
-
-Tokens in many texts meet in stars about one central text first; what then stays in
-different components is compared too, so that no link is lost and no group of copies is
-expanded into all its pairs.
+hold a common token. Order A sorts light tokens by hash and puts a bounded list of
+frequent (heavy) tokens behind them, the most frequent last, so that a prefix rarely
+holds a passage that many texts quote. Orders B and C are by other hashes.
+
+Candidates come from order A. A token in few prefixes pairs them all; how many tokens a
+pair shares then bounds its overlap. A token in many prefixes first pairs each with one
+central set, its hub, so that a group of copies is not expanded into all its pairs; the
+sets that are still in different components after that are paired as well, so that no
+link is lost. Of the candidates, those stay that meet in the prefixes B and C too; only
+for them whole sets are fetched and compared. Links become components.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import binary_views, park, release, small_batches, table, text_of, trim, unique_rows, worker_state
+from lattica.llm.common import binary_views, park, small_batches, table, text_of, trim, unique_rows, worker_state
 
 WORDS = 5
 NUM, DEN = 4, 5  # the similarity, as a fraction
 HEAVY_DF = 10
 HEAVY_MOST = 131_072  # bound of the broadcast list of heavy tokens
+GROUP = 24  # prefixes that a light token pairs in full
 WINDOW = 2_000_000
 SLOTS = 1 << 23
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
@@ -50,6 +53,12 @@ def slices(batch: pa.RecordBatch, size: int = 50_000):
         yield batch.slice(i, size)
 
 
+def record(schema: str, columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
+
+
 def count_tokens(batches):
     """(tok, n): tokens that at least two and at least one in 2,000 texts of a window share.
     Windows of about WINDOW tokens bound the memory; every token of every text is counted."""
@@ -59,7 +68,7 @@ def count_tokens(batches):
     def frequent():
         toks, n = np.unique(np.concatenate(held), return_counts=True)
         keep = n >= max(2, len(held) // 2000)
-        return pa.RecordBatch.from_arrays([pa.array(toks[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["tok", "n"])
+        return record("tok long, n long", [toks[keep].view(np.int64), n[keep]])
 
     for batch in batches:
         for _, s in each_set(batch):
@@ -76,123 +85,103 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def other_prefix(s: np.ndarray, order: np.uint64, p: int) -> np.ndarray:
+    """The prefix of a set under another order of all tokens, as 32 bits a token."""
+    mixed = shingles.mix(s ^ order)
+    return np.partition(mixed, p - 1)[:p].astype(np.uint32).view(np.int32)
+
+
+PREFIXES = "doc_id long, th long, s long, n int, last long, light array<long>, heavy array<int>, b array<int>, c array<int>"
+
+
 def splitter(heavy):
-    """Rows of (doc_id, th, s, n, last, light, heavy): each set's id, size and order A prefix."""
+    """Each set's id, size and prefixes. Heavy tokens are named by their rank in order A;
+    ``last`` tells where prefix A ends: a rank, or below 0 a light token without its last bit."""
 
     def split(batches):
-        often = heavy.value
+        often, ranks = heavy.value
         for batch in batches:
             rows = []
             for i, s in each_set(batch):
                 n = len(s)
-                p = prefix_size(n) if n else 0
-                is_heavy = np.zeros(n, bool)
-                if n and len(often):
-                    place = np.searchsorted(often, s)
-                    is_heavy = often[np.minimum(place, len(often) - 1)] == s
+                if not n:
+                    rows.append((i, 0, 0, 0, *[s.view(np.int64)], *[np.zeros(0, np.int32)] * 3))
+                    continue
+                p = prefix_size(n)
+                is_heavy, place = np.zeros(n, bool), None
+                if len(often):
+                    place = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    is_heavy = often[place] == s
                 light = s[~is_heavy][:p]
-                rest = s[is_heavy][: p - len(light)]
-                end = rest[-1] if len(rest) else light[-1] if len(light) else np.uint64(0)
-                last = int(end >> np.uint64(1)) - (1 << 63) * (not len(rest))  # where the prefix ends in order A
-                rows.append((i, set_id(s) if n else 0, n, last, light.view(np.int64), rest.view(np.int64)))
-            c = list(zip(*rows)) if rows else [()] * 6
+                rest = np.sort(ranks[place[is_heavy]])[: p - len(light)] if len(light) < p else np.zeros(0, np.int32)
+                last = int(rest[-1]) if len(rest) else int(light[-1] >> np.uint64(1)) - (1 << 63)
+                rows.append((i, set_id(s), n, last, light.view(np.int64), rest, *[other_prefix(s, k, p) for k in ORDERS]))
+            c = list(zip(*rows)) if rows else [()] * 8
             at = pa.array(c[0], pa.int64())
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), lists(c[4]), lists(c[5])],
-                ["doc_id", "th", "s", "n", "last", "light", "heavy"],
-            )
+            out = record(PREFIXES, [batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), lists(c[4], np.int64), *[lists(x, np.int32) for x in c[5:]]])
             yield from slices(out, 2000)
 
     return split
 
 
-def lists(arrays) -> pa.ListArray:
+def lists(arrays, kind) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.zeros(0, np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.zeros(0, kind)))
 
 
-SHARED = "tok long, s long, n int, up int"
-APART = SHARED + ", root long"
-PAIRS = "x long, y long, nx int, ny int, hx int, hy int, lx long, ly long"
+def near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    return DEN * small >= NUM * large
 
 
-def whole_tokens(batches, names: list[str]):
-    """Columns of consecutive batches, cut so that no token's rows are parted."""
-    held = None
-    for batch in batches:
-        cols = {k: np.asarray(batch.column(k)) for k in names}
-        if held is not None:
-            cols = {k: np.concatenate([held[k], cols[k]]) for k in names}
-        if len(cols["tok"]):
-            cut = int(np.searchsorted(cols["tok"], cols["tok"][-1]))  # the last token may go on
-            held = {k: v[cut:] for k, v in cols.items()}
-            yield {k: v[:cut] for k, v in cols.items()}
-    if held is not None:
-        yield held
+MET = "kind int, a long, b long, n int"
+PAIR, ROW, SHARED = 0, 1, 2
 
 
-def near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    return DEN * small >= NUM * large
+def meet_on_tokens(group: int):
+    """Rows sorted by (tok, n, s) to PAIR rows (smaller set, larger set) for each token in at
+    most ``group`` sets, SHARED rows (set, how many of its tokens pair it), and for tokens in
+    more sets their ROWs (tok, set, size). No more than a batch and ``group`` rows are held."""
 
-
-def share(batches):
-    """Rows sorted by (tok, n, s) to those whose token a set of matching size has too. ``up``
-    tells whether one such set is as large or larger."""
-    for cols in whole_tokens(batches, ["tok", "s", "n"]):
-        fresh = np.ones(len(cols["tok"]), bool)
-        fresh[1:] = (cols["tok"][1:] != cols["tok"][:-1]) | (cols["s"][1:] != cols["s"][:-1])
-        cols = {k: v[fresh] for k, v in cols.items()}
-        after, before, up = partners(cols["tok"], cols["n"], cols["s"])
-        keep = after | before
-        out = [*(cols[k][keep] for k in ("tok", "s", "n")), up[keep].astype(np.int32)]
-        yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in SHARED.split(", ")]))
-
-
-def partners(tok: np.ndarray, n: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by (tok, n): whether a later or an earlier row has the token, another
-    group and a matching size; and whether one at least as large does."""
-    n, last = n.astype(np.int64), len(tok)
-    change = np.nonzero((group[1:] != group[:-1]) | (tok[1:] != tok[:-1]))[0] + 1
-    place = np.arange(last)
-    after = np.append(change, last)[np.searchsorted(change, place, side="right")]
-    at = np.minimum(after, max(0, last - 1))
-    later = (after < last) & (tok[at] == tok) & near_size(n, n[at])
-    before = np.insert(change, 0, 0)[np.searchsorted(change, place, side="right")] - 1
-    at = np.maximum(before, 0)
-    earlier = (before >= 0) & (tok[at] == tok) & near_size(n[at], n)
-    return later, earlier, later | (earlier & (n[at] == n))
-
-
-def share_apart(batches):
-    """Rows sorted by (tok, n, s) to those whose token a set of matching size in another
-    component has too; ``up`` as before."""
-    for cols in whole_tokens(batches, ["tok", "s", "n", "root"]):
-        after, before, up = partners(cols["tok"], cols["n"], cols["root"])
-        keep = after | before
-        out = [*(cols[k][keep] for k in ("tok", "s", "n")), up[keep].astype(np.int32), cols["root"][keep]]
-        yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in APART.split(", ")]))
-
-
-def pair_up(batches):
-    """Rows sorted by (tok, n, s) to pairs (smaller, larger) of sets in different components
-    that share a token and whose sizes and prefixes do not rule out a link."""
-    for cols in whole_tokens(batches, ["tok", "s", "n", "h", "last", "root", "lacks_up", "lacks"]):
-        tok, n, last, root = cols["tok"], cols["n"].astype(np.int64), cols["last"], cols["root"]
-        at, d = np.arange(len(tok)), 1
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        wide = None  # a token known to be in more sets, whose rows go on
+        for batch in batches:
+            cols = [np.concatenate([h, np.asarray(batch.column(k), dtype=np.int64)]) for h, k in zip(held, ("tok", "s", "n"))]
+            tok, s = cols[:2]
+            fresh = np.ones(len(tok), bool)
+            fresh[1:] = (tok[1:] != tok[:-1]) | (s[1:] != s[:-1])
+            cols = [c[fresh] for c in cols]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last token may go on
+            yield from settle([c[:cut] for c in cols], wide)
+            held = [c[cut:] for c in cols]
+            if len(held[0]) and (len(held[0]) > group or held[0][0] == wide):
+                wide = held[0][0]
+                yield from settle([c[:-1] for c in held], wide)
+                held = [c[-1:] for c in held]  # its last row, to know repetitions of it
+        yield from settle(held, wide)
+
+    def settle(cols, wide):
+        tok, s, n = cols
+        if not len(tok):
+            return
+        starts = np.nonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))[0]
+        sizes = np.diff(np.append(starts, len(tok)))
+        many = np.repeat((sizes > group) | (tok[starts] == wide), sizes) if wide is not None else np.repeat(sizes > group, sizes)
+        yield from slices(record(MET, [np.full(int(many.sum()), ROW), tok[many], s[many], n[many]]))
+        paired = np.zeros(len(tok), bool)
+        at, d = np.nonzero(~many)[0], 1
         while True:
             at = at[at + d < len(tok)]
             at = at[(tok[at] == tok[at + d]) & near_size(n[at], n[at + d])]
             if not len(at):
                 break
-            z = at + d
-            most = n[at] - (NUM * (n[at] + n[z]) + NUM + DEN - 1) // (NUM + DEN)  # tokens the smaller set may lack
-            of_z = np.where(n[z] == n[at], cols["lacks_up"][z], cols["lacks"][z])
-            tie = last[at] == last[z]
-            a = at[((last[at] > last[z]) | (cols["lacks_up"][at] <= most + tie)) & ((last[z] > last[at]) | (of_z <= most + n[z] - n[at] + tie)) & (root[at] != root[z])]
-            if len(a):
-                out = [cols["s"][a], cols["s"][a + d], *(cols[k][i] for k in ("n", "h", "last") for i in (a, a + d))]
-                yield from slices(pa.RecordBatch.from_arrays(list(map(pa.array, out)), [c.split()[0] for c in PAIRS.split(", ")]))
+            paired[at] = paired[at + d] = True
+            yield from slices(record(MET, [np.full(len(at), PAIR), s[at], s[at + d], np.zeros(len(at), int)]))
             d += 1
+        ids, counts = np.unique(s[paired], return_counts=True)
+        yield from slices(record(MET, [np.full(len(ids), SHARED), ids, np.zeros(len(ids), int), counts]))
+
+    return run
 
 
 def need(nx, ny):
@@ -200,70 +189,86 @@ def need(nx, ny):
     return F.ceil(NUM * (nx + ny) / F.lit(float(NUM + DEN)) - 1e-9).cast("int")
 
 
-def plausible(pairs: DataFrame) -> DataFrame:
-    """Drops pairs whose prefixes prove them unlike. Of the prefix that ends first in order A
-    every token not matched is in no part of the other set; at most the smaller number of
-    heavy tokens can match besides the counted ones."""
-    counted = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), *[F.max(k).alias(k) for k in ("nx", "ny", "hx", "hy", "lx", "ly")])
-    spare = F.col("c") + F.least("hx", "hy")
+def prefix(n):
+    return n - F.ceil(NUM * n / F.lit(float(DEN)) - 1e-9).cast("int") + 1
 
-    def fits(n):
-        return prefix(n) - spare <= n - need(F.col("nx"), F.col("ny"))
 
-    ok = F.when(F.col("lx") < F.col("ly"), fits(F.col("nx"))).when(F.col("ly") < F.col("lx"), fits(F.col("ny"))).otherwise(F.lit(True))
-    return counted.filter(ok).select("x", "y", "c")
+FACTS = ("s", "n", "last", "h", "g", "lacks")
 
 
-def prefix(n):
-    return n - F.ceil(NUM * n / F.lit(float(DEN)) - 1e-9).cast("int") + 1
+def can_link(a: Column, b: Column, c: Column | None = None) -> Column:
+    """False if sizes and prefixes A rule a link out; ``c``: how many paired tokens a pair has.
 
+    Of the prefix that ends first, every token that the other set has is in the other's
+    prefix. So its tokens that no prefix of a matching size shares (``lacks``), or all but
+    the ``c`` paired and the lesser number ``g`` of unpaired wide ones, are not common. At
+    a tie of light ends one token may lie behind, as ends lack a bit. If both prefixes
+    reach heavy tokens (``h``), they hold all light tokens of either set.
+    """
+    least = need(a["n"], b["n"])
+    wide, wide_light = F.least(a["g"], b["g"]), F.least(a["g"] - a["h"], b["g"] - b["h"])
+    both = (a["h"] > 0) & (b["h"] > 0)
 
-def fetch_sets(texts: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, items): the whole shingle sets of the wanted classes, one text of each.
+    def fits(s, t):
+        spare = s["n"] - least
+        tie = ((s["last"] == t["last"]) & (s["last"] < 0)).cast("int")
+        ok = (s["last"] > t["last"]) | (s["lacks"] <= spare + tie)
+        ok &= ~both | (s["lacks"] <= spare)
+        if c is not None:
+            ok &= (s["last"] > t["last"]) | (prefix(s["n"]) - c - wide <= spare + tie)
+            ok &= ~both | (prefix(s["n"]) - s["h"] - c - wide_light <= spare)
+        return ok
 
-    Texts are not shuffled: a scan keeps those that a bitmap of fixed size (1 MB) may hold
-    and a semi-join on the ids of their sets drops the false hits.
-    """
-    reps = docs.groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(wanted, "s")
-    slot = F.pmod(F.xxhash64("r.doc_id", "r.th"), F.lit(SLOTS))
-    words = reps.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()  # SLOTS / 64 rows at most
+    return fits(a, b) & fits(b, a) & (DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"]))
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """Distinct (x, y) of facts a and b, the more central set first: a hub is then on one side."""
+    key = [F.struct((f["lacks"] / f["n"]).alias("k"), f["s"].alias("s")) for f in (F.col("a"), F.col("b"))]
+    return pairs.select(F.least(*key)["s"].alias("x"), F.greatest(*key)["s"].alias("y")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("s")).union(pairs.select(F.col("y").alias("s"))).distinct()
+
+
+def slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS))
+
+
+def marked(docs: DataFrame, pairs: DataFrame):
+    """A broadcast bitmap of fixed size (1 MB) of one document for each set in ``pairs``. False
+    hits cost time only, since joins on the sets' ids follow."""
+    reps = docs.select("s", "doc_id", "th").join(ends(pairs), "s").groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
+    words = reps.select(slot().alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()  # SLOTS / 64 rows at most
     bits = np.zeros(SLOTS // 64, np.uint64)
     bits[np.asarray(words.column("w"), dtype=np.int64)] = np.asarray(words.column("bits"), dtype=np.int64).view(np.uint64)
-    held = texts.sparkSession.sparkContext.broadcast(bits)
+    return docs.sparkSession.sparkContext.broadcast(bits)
 
-    def scan(batches):
-        for batch in batches:
-            at = np.asarray(batch.column("slot"), dtype=np.int64)
-            hit = (held.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-            batch = batch.take(pa.array(np.nonzero(hit)[0]))
-            rows = []
-            for _, s in each_set(batch):
-                rows.append((set_id(s), s.tobytes()))
-                if len(rows) == 500:
-                    yield set_batch(rows)
-                    rows = []
-            yield set_batch(rows)
 
-    found = texts.select("text", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS)).alias("slot")).mapInArrow(scan, "s long, items binary")
-    return park(found.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "sets")
+def hits(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    at = np.asarray(batch.column("slot"), dtype=np.int64)
+    return batch.take(pa.array(np.nonzero((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))[0]))
 
 
-def set_batch(rows):
-    c = list(zip(*rows)) if rows else [()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary())], ["s", "items"])
+def meet_elsewhere(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose prefixes B and C have a common token as well."""
+    held = marked(docs, pairs)
 
+    def scan(batches):
+        for batch in batches:
+            yield hits(batch, held.value).drop_columns(["slot"])
 
-def other_prefix(s: np.ndarray, order: np.uint64) -> np.ndarray:
-    """The prefix of a set under another order of all tokens."""
-    return np.sort(np.sort(shingles.mix(s ^ order))[: prefix_size(len(s))])
+    both = docs.select("s", "b", "c", slot().alias("slot")).mapInArrow(scan, "s long, b array<int>, c array<int>")
+    left, right = (both.select(F.col("s").alias(k), F.struct("b", "c").alias(f"of_{k}")) for k in ("x", "y"))
+    found = pairs.join(left, "x").join(right, "y").filter(F.arrays_overlap("of_x.b", "of_y.b") & F.arrays_overlap("of_x.c", "of_y.c"))
+    return park(found.select("x", "y").distinct(), "candidates")
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
         a, b = b, a
-    if not len(a):
-        return 0
     at = np.searchsorted(b, a)
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
@@ -274,23 +279,32 @@ def verify_pairs(batches):
         left, right = binary_views(batch.column("ix")), binary_views(batch.column("iy"))
         for i in range(batch.num_rows):
             x, y = np.frombuffer(left[i], np.uint64), np.frombuffer(right[i], np.uint64)
-            if all(meet(other_prefix(x, k), other_prefix(y, k)) for k in ORDERS):  # orders B and C, before the sets
-                both = meet(x, y)
-                if DEN * both >= NUM * (len(x) + len(y) - both):
-                    keep.append(i)
+            both = meet(x, y)
+            if DEN * both >= NUM * (len(x) + len(y) - both):
+                keep.append(i)
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["x", "y"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    sets = sets.join(ends(pairs), "s", "left_semi")
-    left = sets.select(F.col("s").alias("x"), F.col("items").alias("ix"))
-    right = sets.select(F.col("s").alias("y"), F.col("items").alias("iy"))
-    return park(pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(verify_pairs, "x long, y long"), "links")
+def verify(texts: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of ``pairs``, by the whole sets of one text of each."""
+    pairs = meet_elsewhere(docs, pairs)
+    held = marked(docs, pairs)
 
+    def scan(batches):
+        for batch in batches:
+            batch, rows = hits(batch, held.value), []
+            for _, s in each_set(batch):
+                rows.append((set_id(s), s.tobytes()))
+                if len(rows) == 500:
+                    yield record("s long, items binary", zip(*rows))
+                    rows = []
+            if rows:
+                yield record("s long, items binary", zip(*rows))
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("x").alias("s")).union(pairs.select(F.col("y").alias("s"))).distinct()
+    sets = park(texts.select("text", slot().alias("slot")).mapInArrow(scan, "s long, items binary"), "sets")
+    left, right = (sets.select(F.col("s").alias(k), F.col("items").alias(f"i{k}")) for k in ("x", "y"))
+    return park(pairs.join(right, "y").join(left, "x").mapInArrow(verify_pairs, "x long, y long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -311,129 +325,65 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def bounds(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(s, n, h, last, lacks_up, lacks) of the sets with heavy tokens or (s, up) rows: how many
-    tokens of a set's prefix are in no prefix of a matching set that is as large or larger,
-    and of any matching set; every heavy token counts as being in one."""
-    per = rows.groupBy("s").agg(F.sum("up").alias("u"), F.count("*").alias("c"))
-    own = prefix(F.col("n")) - F.col("h")
-    per = sets.join(per, "s", "left").filter("h > 0 OR c > 0")
-    return per.select("s", "n", "h", "last", *[(own - F.coalesce(k, F.lit(0))).cast("int").alias(name) for k, name in (("u", "lacks_up"), ("c", "lacks"))])
-
+def with_facts(pairs: DataFrame, facts: DataFrame, a: str, b: str) -> DataFrame:
+    left, right = (facts.select(F.col("s").alias(k), F.struct(*FACTS).alias(f)) for k, f in ((a, "a"), (b, "b")))
+    return pairs.join(left, a).join(right, b)
 
-BOUNDS = ("n", "last", "lacks_up", "lacks")
 
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Each row's set with its token's hub, the set with the fewest tokens of its own."""
+    hubs = rows.groupBy("tok").agg(F.min(F.struct((F.col("f.lacks") / F.col("f.n")).alias("k"), F.col("f.s").alias("s"), "f")).alias("hub")).select("tok", F.col("hub.f").alias("b"))
+    return rows.select("tok", F.col("f").alias("a")).join(hubs, "tok").filter((F.col("a.s") != F.col("b.s")) & can_link(F.col("a"), F.col("b")))
 
-def bound():
-    return F.struct(*BOUNDS)
 
+def apart_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a token's sets that are in different components: the sets outside its largest
+    component with all others that are not in their own."""
+    placed = park(rows.withColumn("s", F.col("f.s")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")).drop("s"), "placed")
+    parts = placed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    placed = placed.join(parts.select("tok", F.col("top.root").alias("giant")), "tok")
+    odd = placed.filter("root <> giant").select("tok", F.col("f").alias("a"), F.col("root").alias("ra"))
+    other = placed.select("tok", F.col("f").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("giant")).alias("main"))
+    return odd.join(other, "tok").filter((F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a.s") < F.col("b.s"))) & can_link(F.col("a"), F.col("b")))
 
-def can_link(a, b):
-    """False if the prefixes rule a link out. Of the prefix that ends first in order A every
-    token the other set has is in the other's prefix, so all that ``lacks`` counts are missing
-    there. Ends are compared without their last bit: at a tie one token may lie behind."""
-    least = need(a["n"], b["n"])
-
-    def fits(s, t):
-        lacks = F.when(s["n"] <= t["n"], s["lacks_up"]).otherwise(s["lacks"])
-        return (s["last"] > t["last"]) | (lacks <= s["n"] - least + (s["last"] == t["last"]).cast("int"))
-
-    return fits(a, b) & fits(b, a) & (DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"]))
-
-
-def star_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Distinct (x, y) of each row's set and its token's hub, if they can link."""
-    return rows.join(hubs, "tok").filter((F.col("s") != F.col("hs")) & can_link(F.col("b"), F.col("hb"))).select(F.least("s", "hs").alias("x"), F.greatest("s", "hs").alias("y")).distinct()
-
-
-def placed_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
 
-
-def largest_parts(placed: DataFrame) -> DataFrame:
-    """(tok, giant): the component with most of a token's sets, for tokens in several."""
-    return placed.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("tok", F.col("top.root").alias("giant"))
-
-
-def link_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link_classes(texts: DataFrame, group: int = GROUP, heavy_df: int = HEAVY_DF, heavy_most: int = HEAVY_MOST) -> tuple[DataFrame, DataFrame]:
     """(documents with s and n; (s, root) of the classes that are linked to another)."""
     spark = texts.sparkSession
     small_batches(spark)
-    tokens = texts.select("text").mapInArrow(count_tokens, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") > HEAVY_DF)
-    often = tokens.orderBy(F.col("n").desc(), "tok").limit(HEAVY_MOST).select("tok").toArrow()  # bounded
-    heavy = spark.sparkContext.broadcast(np.sort(np.asarray(often.column("tok"), dtype=np.int64).view(np.uint64)))
-    docs = park(texts.mapInArrow(splitter(heavy), "doc_id long, th long, s long, n int, last long, light array<long>, heavy array<long>"), "prefixes")
-    rows = docs.filter("n > 0").select("s", "n", F.size("heavy").alias("h"), "last", "light", "heavy")
+    tokens = texts.select("text").mapInArrow(count_tokens, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") > heavy_df)
+    often = tokens.orderBy(F.col("n").desc(), "tok").limit(heavy_most).select("tok").toArrow()  # bounded
+    often = np.asarray(often.column("tok"), dtype=np.int64).view(np.uint64)[::-1]
+    order = np.argsort(often, kind="stable")  # place in order A is rank: the most frequent last
+    heavy = spark.sparkContext.broadcast((often[order], order.astype(np.int32)))
+    docs = park(texts.mapInArrow(splitter(heavy), PREFIXES), "prefixes")
+    rows = docs.filter("n > 0")
     light = rows.select(F.explode("light").alias("tok"), "s", "n")
-    shared = park(light.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(share, SHARED), "shared")
-    release(spark)
-    often_rows = park(rows.filter("h > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("heavy").alias("heavy")), "heavy-sets")
-    whole = rows.select("s", "n", "h", "last").dropDuplicates(["s"])
-    known = park(bounds(whole, shared), "bounds")
-    mark = known.select("s", bound().alias("b"))
-    before = F.expr("transform(heavy, (t, i) -> struct(t AS tok, CASE WHEN i > 0 THEN slice(heavy, greatest(i - 7, 1), least(i, 8)) ELSE array() END AS prev, i))")
-    deep = often_rows.select("s", "n", "h", F.explode(before).alias("e")).select("e.tok", "e.prev", "s", "n", "h", (prefix(F.col("n")) - F.col("h") + F.col("e.i")).alias("pos"))
-    deep = park(deep, "heavy")
-
-    # first, sets meet the most central one of each of their light tokens, the one with the
-    # fewest tokens of its own, and one of each heavy token drawn by lot, eight lots in all
-    every = shared.select("tok", "s", F.lit(0).cast("long").alias("lot"))
-    every = every.union(deep.select("tok", "s", F.xxhash64("s", F.pmod("tok", F.lit(8))).alias("lot"))).join(mark, "s")
-    hubs = every.groupBy("tok").agg(F.min(F.struct("lot", F.col("b.lacks_up") / F.col("b.n"), "s", "b")).alias("hub"))
-    hubs = hubs.select("tok", F.col("hub.s").alias("hs"), F.col("hub.b").alias("hb"))
-    first = park(star_pairs(every, hubs), "first-pairs")
-    release(spark)
-    sets = fetch_sets(texts, docs, ends(first))
-    release(spark)
-    links = verify(first, sets)
-    roots = components(links)
-    release(spark)
-
-    # then sets outside a token's largest component meet members of it drawn by token
-    every = placed_rows(every, roots).join(largest_parts(placed_rows(every, roots)), "tok")
-    drawn = every.filter("root = giant").groupBy("tok").agg(F.max(F.struct(F.xxhash64("s", "tok").alias("k"), "s", "b")).alias("hub"))
-    drawn = drawn.select("tok", F.col("hub.s").alias("hs"), F.col("hub.b").alias("hb"))
-    apart = park(bounds_apart(placed_rows(shared.drop("up"), roots), known), "apart")
-    drawn_pairs = park(star_pairs(every.filter("root <> giant").drop("b").join(apart.select("s", bound().alias("b")), "s"), drawn).join(first, ["x", "y"], "left_anti"), "drawn-pairs")
-    more = fetch_sets(texts, docs, ends(drawn_pairs).join(sets.select("s"), "s", "left_anti"))
-    sets = sets.union(more)
-    links = links.union(verify(drawn_pairs, sets))
+    met = park(light.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(meet_on_tokens(group), MET), "met")
+    deep = rows.filter("size(heavy) > 0").groupBy("s").agg(F.first("heavy").alias("heavy")).select(F.explode(F.col("heavy").cast("array<long>")).alias("tok"), "s")
+    wide = park(deep.union(met.filter(F.col("kind") == ROW).select(F.col("a").alias("tok"), F.col("b").alias("s"))), "wide")
+
+    counts = wide.select("s", F.lit(1).alias("g"), F.lit(0).alias("m")).union(met.filter(F.col("kind") == SHARED).select(F.col("a").alias("s"), F.lit(0), "n"))
+    facts = rows.select("s", "n", "last", F.size("heavy").alias("h")).dropDuplicates(["s"]).join(counts.groupBy("s").agg(F.sum("g").cast("int").alias("g"), F.sum("m").alias("m")), "s")
+    facts = park(facts.withColumn("lacks", (prefix(F.col("n")) - F.col("g") - F.col("m")).cast("int")).select(*FACTS), "facts")
+    counted = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.count("*").alias("c")).withColumnsRenamed({"a": "p", "b": "q"})
+    close = with_facts(counted, facts, "p", "q").filter(can_link(F.col("a"), F.col("b"), F.col("c")))
+    heavy_row = (F.col("tok") >= 0) & (F.col("tok") < heavy_most)  # all its sets hold their light tokens in their prefixes
+    able = ~heavy_row | (F.col("f.lacks") < prefix(F.col("f.n")))
+    rows = park(wide.join(facts.select("s", F.struct(*FACTS).alias("f")), "s").drop("s").filter(able), "wide-facts")
+    first = park(oriented(close.select("a", "b").union(star_pairs(rows).select("a", "b"))), "pairs")
+    links = verify(texts, docs, first)
     roots = components(links)
-    first = first.union(drawn_pairs)
-    release(spark)
-
-    # what is still apart is compared in full: pairs that share enough tokens across components
-    placed = placed_rows(shared.drop("up"), roots)
-    apart = park(bounds_apart(placed, known), "apart")
-    marked = placed.join(apart.drop("n"), "s")
-    found = marked.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(pair_up, PAIRS)
-    close = plausible(found).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    deep = placed_rows(deep, roots).join(apart.select("s", bound().alias("b")), "s")
-    deep = park(deep.join(largest_parts(deep), "tok").withColumn("odd", F.col("root") != F.col("giant")), "placed")
-    small = deep.select("tok", F.col("s").alias("s1"), F.col("n").alias("n1"), F.col("b").alias("b1"), F.col("root").alias("r1"), F.col("prev").alias("p1"), F.col("pos").alias("i1"), F.col("odd").alias("o1"))
-    other = deep.select("tok", "s", "n", "root", "prev", "pos", "odd", "b")
-    wide = small.filter("o1").join(other, "tok").union(small.filter("NOT o1").join(other.filter("odd"), "tok"))
-    # the first token of order A that two sets share has no common token before it (the eight
-    # before it are compared) and so few before it at all that the rest can still be enough
-    least = need(F.col("n1"), F.col("n"))
-    wide = wide.filter((F.col("i1") <= F.col("n1") - least) & (F.col("pos") <= F.col("n") - least))
-    cross = wide.filter((F.col("r1") != F.col("root")) & ((F.col("n") > F.col("n1")) | ((F.col("n") == F.col("n1")) & (F.col("s1") < F.col("s")))) & can_link(F.col("b1"), F.col("b")) & ~F.arrays_overlap("prev", "p1"))
-    cross = cross.select(F.least("s", "s1").alias("x"), F.greatest("s", "s1").alias("y"))
-    second = park(close.union(cross).distinct().join(first, ["x", "y"], "left_anti"), "second-pairs")
-    release(spark)
-    more = fetch_sets(texts, docs, ends(second).join(sets.select("s"), "s", "left_anti"))
-    links = links.union(verify(second, sets.union(more)))
-    release(spark)
-    return docs.select("doc_id", "th", "s", "n"), components(links)
-
-
-def bounds_apart(placed: DataFrame, known: DataFrame) -> DataFrame:
-    """``bounds`` by tokens that sets of other components have."""
-    rows = placed.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(share_apart, APART)
-    return bounds(known.select("s", "n", "h", "last"), rows)
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+
+    second = park(oriented(apart_pairs(rows, roots)).join(first, ["x", "y"], "left_anti"), "pairs-apart")
+    if not second.isEmpty():
+        more = verify(texts, docs, second)
+        if not more.isEmpty():
+            roots = components(links.union(more))
+    return docs.select("doc_id", "th", "s", "n"), roots
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Two documents link at a Jaccard similarity of 0.8 or more of their sets of 5-word
@@ -444,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
-    known, roots = link_classes(texts)
+    known, roots = link_classes(texts, **settings)
     labels = known.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("label")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
     least = labels.groupBy("root").agg(F.min("label").alias("component_id"))
     named = labels.select("s", "root").join(least, "root").select("s", "component_id")

@@ -95,9 +95,11 @@ def classes(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("heavy", [40, 2])
-def test_near_duplicates(spark, monkeypatch, heavy):
-    monkeypatch.setattr(op3_jaccard, "HEAVY_DF", heavy)
+PATHS = [{"heavy_df": 40}, {"heavy_df": 2}, {"heavy_df": 40, "group": 2}, {"heavy_df": 3, "heavy_most": 20, "group": 2}]
+
+
+@pytest.mark.parametrize("settings", PATHS)
+def test_near_duplicates(spark, settings):
     rng = random.Random(8)
     base, passage = words(150, rng, 4000).split(), words(60, rng, 4000)
     texts = [None, "", " \t", "One two", "one TWO", "one two three", words(400, rng, 4000)]
@@ -110,17 +112,16 @@ def test_near_duplicates(spark, monkeypatch, heavy):
     chain = words(60, rng, 4000).split()
     texts += [" ".join(chain[i * 2 : i * 2 + 45]) for i in range(8)]
     df = docs(spark, texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard.near_duplicates(df, **settings).collect()}
     want = classes(texts)
     assert got == want
     kept = op3_jaccard.keep_one(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
-@pytest.mark.parametrize("heavy", [40, 2, 1])
-def test_near_duplicates_of_unequal_size(spark, monkeypatch, heavy):
+@pytest.mark.parametrize("settings", [*PATHS, {"heavy_df": 1}])
+def test_near_duplicates_of_unequal_size(spark, settings):
     """Documents that another extends by a quarter at most, plain or with a passage that many quote."""
-    monkeypatch.setattr(op3_jaccard, "HEAVY_DF", heavy)
     rng = random.Random(5)
     texts, passages = [], [words(9, rng, 4000), words(40, rng, 4000)]
     for size, more in [(8, 2)] * 60 + [(16, 4)] * 30 + [(80, 20)] * 15 + [(8, 3), (80, 21)] * 5:
@@ -129,7 +130,25 @@ def test_near_duplicates_of_unequal_size(spark, monkeypatch, heavy):
         x = f"{words(own, rng, 4000)} {quoted}".split()[-size - 4 :]
         texts += rng.sample([" ".join(x), " ".join([*x, *words(more, rng, 4000).split()])], 2)
     df, want = docs(spark, texts), classes(texts)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard.near_duplicates(df).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard.near_duplicates(df, **settings).collect()} == want
+
+
+@pytest.mark.parametrize("settings", PATHS)
+def test_near_duplicates_of_every_size(spark, settings):
+    """Sets of 1 to 60 shingles, with words cut, added or changed at either end, and popular lines."""
+    rng = random.Random(11)
+    lines, texts = [words(n, rng, 4000).split() for n in (6, 12, 25)], []
+    for size in [*range(5, 65), *range(5, 20), 40, 60]:
+        base = [*rng.choice([[], [], [], *lines]), *words(size, rng, 4000).split()][:size]
+        for _ in range(rng.choice([2, 3, 5])):
+            cut, w = rng.randrange(1 + size // 5), list(base)
+            w = rng.choice([w[cut:], w[: size - cut], w + words(cut, rng).split(), words(cut, rng).split() + w, w[cut // 2 : size - cut // 2]])
+            if w and rng.random() < 0.3:
+                w[rng.choice([0, -1])] = rng.choice(VOCABULARY)
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    got = op3_jaccard.near_duplicates(docs(spark, texts), **settings).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(texts)
 
 
 def test_near_duplicates_edge_rows(spark):
