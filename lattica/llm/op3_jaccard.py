@@ -133,14 +133,14 @@ def near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return DEN * small >= NUM * large
 
 
-MET = "kind int, a long, b long, n int"
-PAIR, ROW, SHARED = 0, 1, 2
+MET = "kind int, a long, b long"
+PAIR, ROW = 0, 1
 
 
 def meet_on_tokens(group: int):
     """Rows sorted by (tok, n, s) to PAIR rows (smaller set, larger set) for each token in at
-    most ``group`` sets, SHARED rows (set, how many of its tokens pair it), and for tokens in
-    more sets their ROWs (tok, set, size). No more than a batch and ``group`` rows are held."""
+    most ``group`` sets, and ROWs (tok, set) of wider tokens. No more than a batch and ``group``
+    rows are held."""
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -167,19 +167,15 @@ def meet_on_tokens(group: int):
         starts = np.nonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))[0]
         sizes = np.diff(np.append(starts, len(tok)))
         many = np.repeat((sizes > group) | (tok[starts] == wide), sizes) if wide is not None else np.repeat(sizes > group, sizes)
-        yield from slices(record(MET, [np.full(int(many.sum()), ROW), tok[many], s[many], n[many]]))
-        paired = np.zeros(len(tok), bool)
+        yield from slices(record(MET, [np.full(int(many.sum()), ROW), tok[many], s[many]]))
         at, d = np.nonzero(~many)[0], 1
         while True:
             at = at[at + d < len(tok)]
             at = at[(tok[at] == tok[at + d]) & near_size(n[at], n[at + d])]
             if not len(at):
                 break
-            paired[at] = paired[at + d] = True
-            yield from slices(record(MET, [np.full(len(at), PAIR), s[at], s[at + d], np.zeros(len(at), int)]))
+            yield from slices(record(MET, [np.full(len(at), PAIR), s[at], s[at + d]]))
             d += 1
-        ids, counts = np.unique(s[paired], return_counts=True)
-        yield from slices(record(MET, [np.full(len(ids), SHARED), ids, np.zeros(len(ids), int), counts]))
 
     return run
 
@@ -193,38 +189,37 @@ def prefix(n):
     return n - F.ceil(NUM * n / F.lit(float(DEN)) - 1e-9).cast("int") + 1
 
 
-FACTS = ("s", "n", "last", "h", "g", "lacks")
+FACTS = ("s", "n", "last", "h", "g")
 
 
-def can_link(a: Column, b: Column, c: Column | None = None) -> Column:
-    """False if sizes and prefixes A rule a link out; ``c``: how many paired tokens a pair has.
+def can_link(a: Column, b: Column, c: Column | int = 0) -> Column:
+    """False if sizes and prefixes A rule a link out; ``c``: how many paired tokens two sets have.
 
     Of the prefix that ends first, every token that the other set has is in the other's
-    prefix. So its tokens that no prefix of a matching size shares (``lacks``), or all but
-    the ``c`` paired and the lesser number ``g`` of unpaired wide ones, are not common. At
-    a tie of light ends one token may lie behind, as ends lack a bit. If both prefixes
-    reach heavy tokens (``h``), they hold all light tokens of either set.
+    prefix: one of the ``c`` or of the wide tokens, of which each has ``g``. At a tie of
+    light ends one token may lie behind, as ends lack a bit. Two prefixes that reach heavy
+    tokens, of which each has ``h``, hold all light tokens of either set.
     """
     least = need(a["n"], b["n"])
-    wide, wide_light = F.least(a["g"], b["g"]), F.least(a["g"] - a["h"], b["g"] - b["h"])
     both = (a["h"] > 0) & (b["h"] > 0)
 
     def fits(s, t):
-        spare = s["n"] - least
+        spare = s["n"] - least + c
         tie = ((s["last"] == t["last"]) & (s["last"] < 0)).cast("int")
-        ok = (s["last"] > t["last"]) | (s["lacks"] <= spare + tie)
-        ok &= ~both | (s["lacks"] <= spare)
-        if c is not None:
-            ok &= (s["last"] > t["last"]) | (prefix(s["n"]) - c - wide <= spare + tie)
-            ok &= ~both | (prefix(s["n"]) - s["h"] - c - wide_light <= spare)
-        return ok
+        ok = (s["last"] > t["last"]) | (prefix(s["n"]) - F.least(a["g"], b["g"]) <= spare + tie)
+        return ok & (~both | (prefix(s["n"]) - s["h"] - F.least(a["g"] - a["h"], b["g"] - b["h"]) <= spare))
 
     return fits(a, b) & fits(b, a) & (DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"]))
 
 
+def own(f: Column) -> Column:
+    """The share of tokens that are not wide: the less, the more central a set is among copies."""
+    return (prefix(f["n"]) - f["g"]) / f["n"]
+
+
 def oriented(pairs: DataFrame) -> DataFrame:
     """Distinct (x, y) of facts a and b, the more central set first: a hub is then on one side."""
-    key = [F.struct((f["lacks"] / f["n"]).alias("k"), f["s"].alias("s")) for f in (F.col("a"), F.col("b"))]
+    key = [F.struct(own(f).alias("k"), f["s"].alias("s")) for f in (F.col("a"), F.col("b"))]
     return pairs.select(F.least(*key)["s"].alias("x"), F.greatest(*key)["s"].alias("y")).distinct()
 
 
@@ -331,8 +326,9 @@ def with_facts(pairs: DataFrame, facts: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each row's set with its token's hub, the set with the fewest tokens of its own."""
-    hubs = rows.groupBy("tok").agg(F.min(F.struct((F.col("f.lacks") / F.col("f.n")).alias("k"), F.col("f.s").alias("s"), "f")).alias("hub")).select("tok", F.col("hub.f").alias("b"))
+    """Each row's set with its token's hub, the most central set. Pairs that share narrow tokens
+    too are among the paired ones already, so here none count."""
+    hubs = rows.groupBy("tok").agg(F.min(F.struct(own(F.col("f")).alias("k"), F.col("f.s").alias("s"), "f")).alias("hub")).select("tok", F.col("hub.f").alias("b"))
     return rows.select("tok", F.col("f").alias("a")).join(hubs, "tok").filter((F.col("a.s") != F.col("b.s")) & can_link(F.col("a"), F.col("b")))
 
 
@@ -363,14 +359,11 @@ def link_classes(texts: DataFrame, group: int = GROUP, heavy_df: int = HEAVY_DF,
     deep = rows.filter("size(heavy) > 0").groupBy("s").agg(F.first("heavy").alias("heavy")).select(F.explode(F.col("heavy").cast("array<long>")).alias("tok"), "s")
     wide = park(deep.union(met.filter(F.col("kind") == ROW).select(F.col("a").alias("tok"), F.col("b").alias("s"))), "wide")
 
-    counts = wide.select("s", F.lit(1).alias("g"), F.lit(0).alias("m")).union(met.filter(F.col("kind") == SHARED).select(F.col("a").alias("s"), F.lit(0), "n"))
-    facts = rows.select("s", "n", "last", F.size("heavy").alias("h")).dropDuplicates(["s"]).join(counts.groupBy("s").agg(F.sum("g").cast("int").alias("g"), F.sum("m").alias("m")), "s")
-    facts = park(facts.withColumn("lacks", (prefix(F.col("n")) - F.col("g") - F.col("m")).cast("int")).select(*FACTS), "facts")
-    counted = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.count("*").alias("c")).withColumnsRenamed({"a": "p", "b": "q"})
+    facts = rows.select("s", "n", "last", F.size("heavy").alias("h")).dropDuplicates(["s"]).join(wide.groupBy("s").agg(F.count("*").cast("int").alias("g")), "s", "left")
+    facts = park(facts.fillna(0, ["g"]).select(*FACTS), "facts")
+    counted = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.count("*").cast("int").alias("c")).withColumnsRenamed({"a": "p", "b": "q"})
     close = with_facts(counted, facts, "p", "q").filter(can_link(F.col("a"), F.col("b"), F.col("c")))
-    heavy_row = (F.col("tok") >= 0) & (F.col("tok") < heavy_most)  # all its sets hold their light tokens in their prefixes
-    able = ~heavy_row | (F.col("f.lacks") < prefix(F.col("f.n")))
-    rows = park(wide.join(facts.select("s", F.struct(*FACTS).alias("f")), "s").drop("s").filter(able), "wide-facts")
+    rows = park(wide.join(facts.select("s", F.struct(*FACTS).alias("f")), "s").drop("s"), "wide-facts")
     first = park(oriented(close.select("a", "b").union(star_pairs(rows).select("a", "b"))), "pairs")
     links = verify(texts, docs, first)
     roots = components(links)
