@@ -18,11 +18,17 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LATIN = re.compile("[^\x00-˿]|<\\|")  # outside it, or a special token's mark: no lower-casing ahead
 CORE_TAIL = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%&$*#]+)")
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
-CACHE = 1_000_000  # about 200 MB in each Python worker
+SPACES = re.compile("[ \n\t\r]")
+CACHE = 24_000_000  # bytes of each of two generations of words in a Python worker
+ENTRY = 150  # bytes of a cached word besides its ids
+PART = 1_000_000  # characters split into words at a time
 
 
 class WordTokenizer:
-    """Token ids of whole texts through a bounded cache of white-space chunks.
+    """Token ids of whole texts through a cache of white-space chunks, bounded in bytes.
+
+    The cache has two generations: words are looked up in the young one, then moved there
+    from the old one; a full young one becomes the old one, so that frequent words stay.
 
     The vocabulary's rules drop white space and never join across it, so the ids of a
     text are those of its chunks in turn. Texts below U+0300 have no combining marks, so
@@ -34,15 +40,18 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old, self.size = Tokenizer.from_file(path), {}, {}, 0
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks new to the cache, which then keeps them."""
-        split = {c: m.groups() for c in chunks if (m := CORE_TAIL.fullmatch(c))}
-        new = {p: self.cache[p] for pair in split.values() for p in pair if p in self.cache}
-        parts = dict.fromkeys(p for c in chunks for p in split.get(c, (c,)) if p not in new)
+        """Ids of chunks that the young cache lacks, which then keeps them."""
+        new = {c: self.old[c] for c in chunks if c in self.old}
+        split = {c: m.groups() for c in chunks if c not in new and (m := CORE_TAIL.fullmatch(c))}
+        for p in {p for pair in split.values() for p in pair}:
+            if (known := self.young.get(p) or self.old.get(p)) is not None:
+                new[p] = known
+        parts = dict.fromkeys(p for c in chunks if c not in new for p in split.get(c, (c,)) if p not in new)
         letters = [p for p in parts if LETTERS.fullmatch(p)]
         for i in range(0, len(letters), 4096):
             words = letters[i : i + 4096]  # each is one word, so its ids end at a word-end token
@@ -57,25 +66,49 @@ class WordTokenizer:
                 new[part] = np.array(e.ids, np.uint32).tobytes()
         for c, (core, tail) in split.items():
             new[c] = new[core] + new[tail]
-        if len(self.cache) + len(new) > CACHE:
-            for key in list(self.cache)[: len(self.cache) // 2]:
-                del self.cache[key]
-        self.cache.update(new)
+        added = sum(map(len, new.values())) + ENTRY * len(new)
+        if self.size + added > CACHE:
+            self.old, self.young, self.size = self.young, {}, 0
+        if added <= CACHE:  # more than that at once, as from one text of rare words, is not kept
+            self.young.update(new)
+            self.size += added
         return new
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split, missing = [], set()
-        for text in texts:
+        """Little-endian unsigned 32-bit ids of each text; long texts go in parts cut at white space."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, total = [], 0
+        for i, text in enumerate(texts):
             if not LATIN.search(text):
                 text = text.lower()
+            a = 0
+            while len(text) - a > PART:
+                end = SPACES.search(text, a + PART)
+                if not end:
+                    break
+                held.append((i, text[a : end.start()]))
+                self.flush(held, out)
+                held, total, a = [], 0, end.end()
+            held.append((i, text[a:] if a else text))
+            total += len(text) - a
+            if total >= PART:
+                self.flush(held, out)
+                held, total = [], 0
+        self.flush(held, out)
+        return [b"".join(x) if len(x) != 1 else x[0] for x in out]
+
+    def flush(self, parts: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        """Appends the ids of each (text number, part) to its text's list."""
+        split, missing = [], set()
+        for i, text in parts:
             chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            found = list(map(self.cache.get, chunks))
+            found = list(map(self.young.get, chunks))
             if None in found:
                 missing.update([c for c, x in zip(chunks, found) if x is None])
-            split.append((chunks, found))
+            split.append((i, chunks, found))
         new = self.learn(list(missing)) if missing else {}
-        return [b"".join([new[c] if x is None else x for c, x in zip(chunks, found)] if None in found else found) for chunks, found in split]
+        for i, chunks, found in split:
+            out[i].append(b"".join([new[c] if x is None else x for c, x in zip(chunks, found)] if None in found else found))
 
 
 def combinations(hist: np.ndarray, window: int, most: int) -> list[tuple[int, ...]]:
@@ -167,7 +200,7 @@ def plan(lengths: np.ndarray, window: int, most: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x).astype(np.int64) for x in (doc, start, length, seq, offset)) + (n_seq,)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000,
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, block_tokens: int = 1_000_000,
                    triples: int = 4096, with_ids: bool = False) -> DataFrame:
     """Packs (doc_id, text) into sequences of at most ``window`` tokens, a power of two.
 
@@ -191,16 +224,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
         def flush():
             nonlocal ids, blobs, held, made
-            doc_ids, body = pa.concat_arrays(ids), b"".join(blobs)
-            sizes = np.array([len(b) // 4 for b in blobs], np.int64)
-            at = np.cumsum(sizes) - sizes
+            doc_ids, sizes = pa.concat_arrays(ids), np.array([len(b) // 4 for b in blobs], np.int64)
             doc, start, length, seq, offset, n = plan(sizes, window, triples)
-            view = memoryview(body)
-            spans = list(zip((4 * (at[doc] + start)).tolist(), (4 * (at[doc] + start + length)).tolist()))
-            crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in spans), np.int64, len(spans))
+            views = [memoryview(b) for b in blobs]
+            spans = list(zip(doc.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist()))
+            crc = np.fromiter((zlib.crc32(views[d][a:b]) for d, a, b in spans), np.int64, len(spans))
             cols = [doc_ids.take(pa.array(doc)), *map(pa.array, (start, length, crc, sizes[doc], base + made + seq, offset))]
             if with_ids:
-                cols.append(pa.array([bytes(view[a:b]) for a, b in spans], pa.binary()))
+                cols.append(pa.array([bytes(views[d][a:b]) for d, a, b in spans], pa.binary()))
             ids, blobs, held, made = [], [], 0, made + n
             out = pa.RecordBatch.from_arrays(cols, names)
             for i in range(0, out.num_rows, 20_000):
