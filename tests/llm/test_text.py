@@ -12,7 +12,7 @@ from lattica.llm import deepshallow, op2_suffix, op3_jaccard
 from lattica.llm.op4_packing import WordTokenizer, default_tokenizer, pack_documents, plan
 from lattica.llm.op8_licenses import BASE, automaton, evaluate, postfix, scan, scan_licenses
 from lattica.llm.op9_mixing import mix, mixed_documents
-from lattica.llm.op10_html import DEFAULT, best_region, extract, main_text
+from lattica.llm.op10_html import DEFAULT, best_region, extract, main_text, stream
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, h long, s string, n int, size string, key string"
 
@@ -259,9 +259,32 @@ PAGES = [
     ("<article><script>var t='</p><p>no</p>'</script><p>A\n  b</p><!-- no <p>x</p> --><style>p{}</style><form><input>no</form>C &am", "A b C &am"),
     ("<body><ul><li><a>Home</a><li><a>News</a></ul><p>Alpha beta gamma.</p><p>More words.</p><div class='cookie-notice'>We</div><ul><li>A</ul>", "Alpha beta gamma. More words."),
     ("", ""), ("plain words", "plain words"), ("<nav>never closed <article><p>Kept</p>", "Kept"),
+    ("<html><head><title>t</title><body><p>Hello <i>there</i>, world</p>", "Hello there, world"),
+    ("<div class='content has-sidebar'><main class='search-results'><p>One two three</p></main></div><div class=sidebar>no</div>", "One two three"),
+    ("<form action=x><div class=sidebar>no</div><article><header><p>by me</p><h1>Title</h1></header><p>Text of it</p></article><section id=comments><article class=comment>bad</article></section></form>", "Title Text of it"),
+    ("<body><nav>Home About<p>The text begins here.</p><p>It ends here.</p>", "The text begins here. It ends here."),
+    ("<body><p>How to do it well:</p><ol><li>First do this thing well</li><li>Then do that thing too</li></ol><p>Done with it all.</p>", "How to do it well: First do this thing well Then do that thing too Done with it all."),
+    ("<body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Shop now</a></div><div>A text with <a href=x>a link</a>, no marks.</div><div><a>Terms</a> <a>Imprint</a></div>", "A text with a link, no marks."),
 ]
 
 
+def test_region_is_best():
+    rng = random.Random(7)
+    for _ in range(500):
+        scores = [rng.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(rng.randint(0, 12))]
+        a, b = best_region(scores)
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        top = max([0, *sums.values()])
+        assert sum(scores[a:b]) == top and (a, b) == (min((k for k, v in sums.items() if v == top), key=lambda k: (k[0], -k[1])) if top > 0 else (0, 0))
+
+
+def test_region_leaves_words_out():
+    """The scan, not the lists of marks, leaves out what lies around a text without marks."""
+    page = PAGES[-1][0]
+    kept = [v for k, v in stream(page) if k not in ("tag", "boiler", "none")]
+    assert "Home" in "".join(kept) and "Imprint" in "".join(kept) and "Home" not in extract(page, DEFAULT)
+
+
 @pytest.mark.parametrize(("page", "text"), PAGES)
 def test_main_text(page, text):
     assert extract(page, DEFAULT) == text
