@@ -23,6 +23,8 @@ def write_flat(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame
 
     def run(batches):
         words = worker_state(("tokenizer", tokenizer), lambda: WordTokenizer(tokenizer))
+        if len(words.ends) > END:
+            raise ValueError(f"a vocabulary of {len(words.ends)} ids does not fit 16 bits with an end mark")
         task = TaskContext.get()
         file_id, names = task.partitionId() if task else 0, ["file_id", "block", "data", "ids"]
         rest, n_blocks, n_docs, end = np.zeros(0, np.uint16), 0, 0, np.array([END], np.uint16)

@@ -103,9 +103,13 @@ def scan(raw: bytes, machine) -> tuple:
     words = raw.translate(WORD_BYTES).split()
     text = f" {b' '.join(words).decode('utf-8', 'replace')} "
     starts, base, more, n_notices, tags = [], set(), set(), 0, False
+    at, before = 0, 0  # how many words begin before place ``at``
     for end, phrase in machine.iter(text):
         if phrase in BASE:
-            starts.append(text.count(" ", 0, end - len(phrase)) - 1)
+            place = end - len(phrase)  # a longer phrase may begin before the last one
+            before += text.count(" ", at, place) if place >= at else -text.count(" ", place, at)
+            at = place
+            starts.append(before - 1)
             base.add(BASE[phrase])
         elif phrase == TAG:
             tags = True

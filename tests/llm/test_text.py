@@ -214,6 +214,16 @@ def test_licence_phrases(spark):
     assert scan(b"// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\n", machine)[5:] == ("apache,bsd,mit", 0.75, True)
 
 
+def test_licences_in_long_texts_and_odd_rows(spark):
+    """10 MB take seconds, not a time that grows with the square of the matches."""
+    text = "mit license, GNU general public license or so " * 220_000
+    got = scan(text.encode(), automaton())
+    assert got[:5] == (220_000 * 8, 440_000, 0, 220_000 * 8 - 6, "gpl,mit")
+    rows = scan_licenses(docs(spark, [(None, "mit license"), (1, "cc by"), (1, "cc by"), (2, None)])).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_base, r.labels) for r in rows) == [(0, 2, 1, "mit"), (1, 2, 1, "cc-by"), (1, 2, 1, "cc-by"), (2, 0, 0, "")]
+    assert scan_licenses(docs(spark, [])).collect() == []
+
+
 @pytest.mark.parametrize(
     ("text", "order", "labels", "free"),
     [("MIT OR GPL-2.0-only", "MIT GPL-2.0-only or", {"mit", "gpl"}, True), ("MIT AND GPL-2.0 WITH X", "MIT GPL-2.0 X with and", {"mit", "gpl"}, False), ("(MIT", "", set(), False), ("A or B and C", "A B C and or", {"a", "b", "c"}, False), ("MIT)", "MIT", {"mit"}, True), ("", "", set(), False)],
