@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import re
 import zlib
 
 import numpy as np
@@ -11,12 +13,20 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import binary_views, small_batches, table, text_of, worker_state
 
-# Group terms whose exchange must not change a score; the last stands for no group.
-IDENTITY = (
-    "women men girls boys woman man muslim muslims christian christians jewish jews hindu buddhist catholic protestant atheist "
-    "gay lesbian bisexual transgender straight black white asian african american european latino hispanic arab indian chinese "
-    "mexican immigrant immigrants refugee refugees disabled deaf blind old young elderly people"
-).split()
+# Group terms by language, whose exchange must not change a score.
+IDENTITY = {
+    "en": (
+        "women men girls boys woman man muslim muslims christian christians jewish jews hindu buddhist catholic protestant atheist "
+        "gay lesbian bisexual transgender straight black white asian african american european latino hispanic arab indian chinese "
+        "mexican immigrant immigrants refugee refugees disabled deaf blind old young elderly people"
+    ).split(),
+    "de": "frauen männer mädchen jungen frau mann muslim muslime christ christen jude juden hindu buddhist atheist schwul lesbisch schwarze weiße asiaten afrikaner amerikaner türken araber polen einwanderer flüchtling flüchtlinge behinderte gehörlose blinde alte junge leute".split(),
+    "fr": "femmes hommes filles garçons femme homme musulman musulmans chrétien chrétiens juif juifs hindou bouddhiste athée gay lesbienne noirs blancs asiatiques africains américains arabes chinois immigré immigrés réfugié réfugiés handicapés sourds aveugles vieux jeunes gens".split(),
+    "es": "mujeres hombres chicas chicos mujer hombre musulmán musulmanes cristiano cristianos judío judíos hindú budista ateo gay lesbiana negros blancos asiáticos africanos americanos árabes chinos inmigrante inmigrantes refugiado refugiados discapacitados sordos ciegos viejos jóvenes gente".split(),
+}
+GROUPS = [[t.encode() for t in terms] for terms in IDENTITY.values()]
+PLACES = {t: (g, i) for g, terms in enumerate(GROUPS) for i, t in reversed(list(enumerate(terms)))}
+SENTENCE = re.compile(rb"[.!?\n]+")
 CUT = 0.3
 SEPARATORS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
 CACHE = 200_000
@@ -38,6 +48,29 @@ def counted(view) -> np.ndarray:
     return np.array([h for w in sorted(words) for h in features(w)], np.uint32)
 
 
+def swapped(view) -> np.ndarray:
+    """What the swap of a group term in one sentence changes in a text's features: for each term of
+    each sentence and one other of its language, drawn by the sentence, the features that come
+    (number << 33 | hash) and that go (with bit 32). Swaps that change alike count once a text."""
+    sentences = [set(x.translate(SEPARATORS).split()) for x in SENTENCE.split(bytes(view))]
+    named = [(words, words & PLACES.keys()) for words in sentences]
+    if not any(terms for _, terms in named):
+        return np.zeros(0, np.uint64)
+    often = collections.Counter(w for words in sentences for w in words)
+    out: dict[tuple[bytes, bytes, bool], None] = {}
+    for words, terms in named:
+        for t in sorted(terms):
+            group, i = PLACES[t]
+            others = GROUPS[group]
+            to = others[(i + 1 + zlib.crc32(b" ".join(sorted(words))) % (len(others) - 1)) % len(others)]
+            out[t, to, often[t] == 1] = None
+    rows = []
+    for k, (t, to, goes) in enumerate(out):
+        rows += [(k << 33) | h for h in features(to) if to not in often]
+        rows += [(k << 33) | (1 << 32) | h for h in features(t) if goes]
+    return np.array(rows, np.uint64)
+
+
 class Linear:
     """Weights by feature hash, summed over a text's distinct words, and a bias."""
 
@@ -76,11 +109,11 @@ def hopeful(rows: list[np.ndarray], labels: np.ndarray, least_df: int, always: n
     return [row[good[row & mask]] for row in rows]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 30_000, least_df: int = 4, rounds: int = 300, l2: float = 2e-4, swap: float = 1.0) -> Linear:
+def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[np.ndarray], most: int = 30_000, least_df: int = 4, rounds: int = 300, l2: float = 2e-4, swap: float = 1.0) -> Linear:
     """Logistic regression whose loss adds swap * mean (score change)^2 over counterfactual
-    pairs: each labelled text that names a group, with the name exchanged for every other
-    one, and each pair of names by itself (a neutral mention)."""
-    names = [zlib.crc32(t.encode()) for t in IDENTITY]
+    pairs: labelled texts with a group term swapped in one sentence (``swapped``), and each
+    term by itself swapped for the next of its language (a neutral mention)."""
+    names = [zlib.crc32(t) for t in PLACES]
     rows = hopeful(rows, labels, least_df, np.array(names, np.uint32))
     lens = np.array([len(r) for r in rows], int)
     flat = np.concatenate(rows) if lens.sum() else np.zeros(0, np.uint32)
@@ -101,22 +134,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, most: int = 30_000, least_df
     place = np.searchsorted(chosen, flat)
     ok = (place < m) & (chosen[np.minimum(place, m - 1)] == flat)
     cols, docs = place[ok], doc[ok]
-    # each term's features among the chosen ones, and how often labelled texts mention it
-    parts = [np.searchsorted(chosen, np.intersect1d(np.array(features(t.encode()), np.uint32), chosen)) for t in IDENTITY]
-    term_of, part_of = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
-    told = dict(zip(vocab.tolist(), df.tolist()))
-    mention = 1.0 + np.array([told.get(h, 0.0) for h in names])
+    # one row for each swap: +1 for a feature that comes, -1 for one that goes
+    bare = [np.array([h for h in features(to)] + [(1 << 32) | h for h in features(t)], np.uint64) for terms in GROUPS for t, to in zip(terms, terms[1:] + terms[:1])]
+    every = [x for x in [*swaps, *bare] if len(x)]
+    entry = np.concatenate(every)
+    change = np.unique((np.repeat(np.arange(len(every), dtype=np.uint64), [len(x) for x in every]) << np.uint64(31)) | (entry >> np.uint64(33)), return_inverse=True)[1].ravel()
+    hashes, sign = (entry & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.where(entry >> np.uint64(32) & np.uint64(1), -1.0, 1.0)
+    spot = np.minimum(np.searchsorted(chosen, hashes), m - 1)
+    has = chosen[spot] == hashes
+    n_swaps = int(change.max()) + 1
+    change, spot, sign = change[has], spot[has], sign[has]
     w, b = np.zeros(m), float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
     mw, vw, mb, vb = np.zeros(m), np.zeros(m), 0.0, 0.0
     for t in range(1, rounds + 1):
         s = b + np.bincount(docs, weights=w[cols], minlength=n)[:n]
         g = (1 / (1 + np.exp(-np.clip(s, -40, 40))) - labels) / n if len(rows) else np.zeros(n)
         gw = np.bincount(cols, weights=g[docs], minlength=m) + l2 * w
-        # mean over mentions i and terms j of (v_i - v_j)^2, where v is a term's whole share of a score
-        v = np.bincount(term_of, weights=w[part_of], minlength=len(parts))
-        share = mention / mention.sum()
-        gv = 2 * swap * (share * (v - v.mean()) + (v - share @ v) / len(parts))
-        gw += np.bincount(part_of, weights=gv[term_of], minlength=m)
+        moved = np.bincount(change, weights=sign * w[spot], minlength=n_swaps)
+        gw += 2 * swap / n_swaps * np.bincount(spot, weights=sign * moved[change], minlength=m)
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
         rate_t = 0.05 * (1 - 0.9 * t / rounds)
@@ -136,12 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, **setti
 
     def encode(batches):
         for batch in batches:
-            blobs = [counted(v).tobytes() for v in binary_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(blobs, pa.binary())], ["doc_id", "toxic", "hashes"])
+            views = binary_views(batch.column("text"))
+            blobs = [pa.array([f(v).tobytes() for v in views], pa.binary()) for f in (counted, swapped)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *blobs], ["doc_id", "toxic", "hashes", "swaps"])
 
-    got = texts.mapInArrow(encode, "doc_id long, toxic int, hashes binary").toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
-    rows = [np.frombuffer(v, np.uint32) for c in got.column("hashes").chunks for v in binary_views(c)]
-    return fit(rows, np.minimum(np.array(got.column("toxic").to_pylist(), float), 1.0), **settings)
+    got = texts.mapInArrow(encode, "doc_id long, toxic int, hashes binary, swaps binary").toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
+    rows, swaps = ([np.frombuffer(v, kind) for c in got.column(name).chunks for v in binary_views(c)] for name, kind in (("hashes", np.uint32), ("swaps", np.uint64)))
+    return fit(rows, np.minimum(np.array(got.column("toxic").to_pylist(), float), 1.0), swaps, **settings)
 
 
 def score_documents(docs: DataFrame, model: Linear, cut: float = CUT) -> DataFrame:
