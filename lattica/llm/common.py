@@ -6,6 +6,8 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,6 @@ def text_of(name: str = "text") -> Column:
 
 def binary_views(column) -> list:
     """Zero-copy memoryviews of an Arrow string/binary column without nulls."""
-    import numpy as np
-    import pyarrow as pa
-
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     n, start = len(column), column.offset
@@ -54,12 +53,41 @@ def binary_views(column) -> list:
     return [body[int(a) : int(b)] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of phases whose results are parked."""
-    import gc
+SLOTS = 1 << 23
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def slot_of(*keys) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+
+
+def slot_bits(rows: DataFrame, *keys):
+    """A bitmap of fixed size (1 MB) of the slots of ``rows``, as a broadcast of 64-bit words."""
+    words = rows.select(slot_of(*keys).alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()  # SLOTS / 64 rows at most
+    bits = np.zeros(SLOTS // 64, np.uint64)
+    bits[np.asarray(words.column("w"), dtype=np.int64)] = np.asarray(words.column("bits"), dtype=np.int64).view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_slots(bits, slots):
+    """Which of the slots, an Arrow column, the bitmap holds."""
+    at = np.asarray(slots, dtype=np.int64)
+    return ((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def marked_rows(rows: DataFrame):
+    """A test (doc_id, hash) of whether ``rows`` has a row's doc_id and h: always true if it has,
+    seldom if not. It keeps rows that need no join out of its shuffle; where a table is so large
+    that the bitmap fills up, more rows are moved and the result is the same."""
+    held = slot_bits(rows, "doc_id", "h")
+
+    def marked(doc_id, h) -> Column:
+        @F.arrow_udf("boolean")
+        def hit(slots: pa.Array) -> pa.Array:
+            return pa.array(in_slots(held.value, slots))
+
+        return hit(slot_of(doc_id, h))
+
+    return marked
 
 
 def unique_rows(docs: DataFrame, known: DataFrame) -> DataFrame:

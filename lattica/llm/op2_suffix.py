@@ -6,7 +6,11 @@ hash within it (the leftmost of equals). Equal windows pick equal anchors at equ
 offsets, so it is enough to compare, among anchors of equal gram, the suffixes to the
 right and the reversed prefixes to the left. Both are put in order by deep-shallow
 sorting; the neighbours' common prefixes then tell for every offset which windows are
-equal. Nothing is missed and nothing is compared twice, however often a string occurs.
+equal. Contexts that are equal as a whole are members of one class, of which only one is
+sorted. Nothing is missed and nothing is compared twice, however often a string occurs.
+
+Anchors whose gram occurs once go at once, after a count of grams that combines before it
+is shuffled; of the texts, only those with open contexts or spans are moved.
 """
 
 from __future__ import annotations
@@ -19,10 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import deepshallow
-from lattica.llm.common import binary_views, park, small_batches, table, text_of, worker_state
+from lattica.llm.common import binary_views, marked_rows, park, small_batches, table, text_of, worker_state
 
 WINDOW, GRAM = 400, 64
-REACH = WINDOW - GRAM + 1  # gram starts in a window
 CHUNK = 1_000_000
 GROUP = 4096  # contexts of one gram that one task sorts together
 BATCH = 12_000
@@ -67,20 +70,20 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(views: list) -> tuple[np.ndarray, ...]:
+def anchors(views: list, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, gram hash, anchor, first window, last window) for texts joined in one buffer;
     places count within each text."""
     sizes = np.array([len(v) for v in views], np.int64)
     data = np.frombuffer(b"".join(views), np.uint8)
     ends = np.cumsum(sizes)
-    if len(data) < WINDOW:
+    if len(data) < window:
         return (np.zeros(0, np.int64),) * 5
-    grams = gram_hashes(data, GRAM)
+    grams = gram_hashes(data, gram)
     tagged = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
-    pick = (sliding_least(tagged, REACH) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    pick = (sliding_least(tagged, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     inside = np.zeros(len(pick), bool)
     for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-        inside[a : max(a, b - WINDOW + 1)] = True
+        inside[a : max(a, b - window + 1)] = True
     new = np.ones(len(pick), bool)
     new[1:] = (pick[1:] != pick[:-1]) | ~inside[:-1]
     first = np.nonzero(new & inside)[0]
@@ -92,16 +95,19 @@ def anchors(views: list) -> tuple[np.ndarray, ...]:
     return text, grams[at].view(np.int64), at - start, first - start, last - start
 
 
-def chunks(views: list):
-    """Ranges of texts of about CHUNK bytes."""
-    a = total = 0
+def pieces(views: list, window: int, most: int = CHUNK):
+    """Lists of (text, offset, bytes) of about ``most`` bytes. A long text is cut so that each of
+    its windows is in one piece."""
+    held, total = [], 0
     for i, v in enumerate(views):
-        total += len(v)
-        if total >= CHUNK:
-            yield a, i + 1
-            a, total = i + 1, 0
-    if a < len(views):
-        yield a, len(views)
+        for a in range(0, max(1, len(v) - window + 1), most):
+            held.append((i, a, v[a : a + most + window - 1]))
+            total += len(held[-1][2])
+            if total >= most:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
 
 
 def digest(*parts) -> bytes:
@@ -118,54 +124,60 @@ def small(n: int) -> bytes:
 ANCHORS = "doc_id long, h long, key long, dg binary, at int, p1 int, p2 int"
 
 
-def find_anchors(batches):
-    worker_state("none", dict)  # a reused worker frees what another operator kept
-    for batch in batches:
-        views = binary_views(batch.column("text"))
-        for a, b in chunks(views):
-            part = views[a:b]
-            text, key, at, p1, p2 = anchors(part)
-            dg = [digest(part[t][x : y + WINDOW], small(z - x)) for t, x, y, z in zip(text.tolist(), p1.tolist(), p2.tolist(), at.tolist())]
-            rows = pa.array(text + a)
-            for i in range(0, len(dg), 20_000):
-                s = slice(i, i + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows[s]), batch.column("h").take(rows[s]), pa.array(key[s]), pa.array(dg[s], pa.binary()), *(pa.array(x[s], pa.int32()) for x in (at, p1, p2))],
-                    ["doc_id", "h", "key", "dg", "at", "p1", "p2"],
-                )
+def anchor_finder(window: int, gram: int, chunk: int):
+    def find(batches):
+        worker_state("none", dict)  # a reused worker frees what another operator kept
+        for batch in batches:
+            for part in pieces(binary_views(batch.column("text")), window, chunk):
+                text, key, at, p1, p2 = anchors([v for _, _, v in part], window, gram)
+                dg = [digest(part[t][2][x : y + window], small(z - x)) for t, x, y, z in zip(text.tolist(), p1.tolist(), p2.tolist(), at.tolist())]
+                offset = np.array([a for _, a, _ in part], np.int64)[text]
+                rows = pa.array(np.array([i for i, _, _ in part], np.int64)[text])
+                for i in range(0, len(dg), 20_000):
+                    s = slice(i, i + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(rows[s]), batch.column("h").take(rows[s]), pa.array(key[s]), pa.array(dg[s], pa.binary()), *(pa.array(x[s] + offset[s], pa.int32()) for x in (at, p1, p2))],
+                        ["doc_id", "h", "key", "dg", "at", "p1", "p2"],
+                    )
+
+    return find
 
 
 CONTEXTS = "doc_id long, h long, grp binary, ctx binary, p1 int, lo int, hi int, off int"
 
 
-def cut_contexts(batches):
+def context_cutter(window: int):
     """The bytes that the windows of each open anchor cover; lo..hi are its offsets."""
-    for batch in batches:
-        views = binary_views(batch.column("text"))
-        out: list[tuple] = []
-        for i, picks in enumerate(batch.column("picks").to_pylist()):
-            for p in picks:
-                out.append((i, p["key"].to_bytes(8, "little", signed=True), bytes(views[i][p["p1"] : p["p2"] + WINDOW]), p["p1"], p["at"] - p["p2"], p["at"] - p["p1"], p["at"] - p["p1"]))
-            if len(out) > 5000 or i == len(views) - 1:
-                cols = list(zip(*out)) if out else [()] * 7
-                rows = pa.array(cols[0], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), *(pa.array(c, pa.int32()) for c in cols[3:])],
-                    ["doc_id", "h", "grp", "ctx", "p1", "lo", "hi", "off"],
-                )
-                out = []
-
-
-def repeated(grp: np.ndarray, ctx: list[bytes], off: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+    def cut(batches):
+        for batch in batches:
+            views = binary_views(batch.column("text"))
+            out: list[tuple] = []
+            for i, picks in enumerate(batch.column("picks").to_pylist()):
+                for p in picks:
+                    out.append((i, p["key"].to_bytes(8, "little", signed=True), bytes(views[i][p["p1"] : p["p2"] + window]), p["p1"], p["at"] - p["p2"], p["at"] - p["p1"], p["at"] - p["p1"]))
+                if len(out) > 5000 or i == len(views) - 1:
+                    cols = list(zip(*out)) if out else [()] * 7
+                    rows = pa.array(cols[0], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), *(pa.array(c, pa.int32()) for c in cols[3:])],
+                        ["doc_id", "h", "grp", "ctx", "p1", "lo", "hi", "off"],
+                    )
+                    out = []
+
+    return cut
+
+
+def repeated(grp: np.ndarray, ctx: list[bytes], off: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first offset, last offset) of runs of windows that another row of the group has too.
 
     A window at offset o starts o bytes before the anchor. Two rows share it if their
-    suffixes from the anchor agree in WINDOW - o bytes and their reversed prefixes in o.
+    suffixes from the anchor agree in window - o bytes and their reversed prefixes in o.
     """
-    right = [c[o : o + WINDOW] for c, o in zip(ctx, off.tolist())]
+    right = [c[o : o + window] for c, o in zip(ctx, off.tolist())]
     left = [c[:o][::-1] for c, o in zip(ctx, off.tolist())]
     classes = []
-    for strings, width in ((right, WINDOW), (left, REACH)):
+    for strings, width in ((right, window), (left, max(1, int(off.max(initial=0))))):
         mat = deepshallow.matrix_of(strings, width)
         order = deepshallow.sort(mat, grp)
         classes.append((order, deepshallow.neighbours(mat, np.array([len(s) for s in strings], np.int64), grp, order)))
@@ -177,7 +189,7 @@ def repeated(grp: np.ndarray, ctx: list[bytes], off: np.ndarray, lo: np.ndarray,
         here = np.nonzero((lo <= o) & (o <= hi))[0]
         if len(here) < 2:
             continue
-        r_class[r_order] = np.cumsum(r_lcp < WINDOW - o)
+        r_class[r_order] = np.cumsum(r_lcp < window - o)
         l_class[l_order] = np.cumsum(l_lcp < o)
         key = r_class[here] * (n + 1) + l_class[here]
         by = np.argsort(key, kind="stable")
@@ -193,45 +205,48 @@ def repeated(grp: np.ndarray, ctx: list[bytes], off: np.ndarray, lo: np.ndarray,
 SPANS = "doc_id long, h long, start int, stop int"
 
 
-def spans_of(rows, first, last, doc_id, h, at):
+def spans_of(rows, first, last, doc_id, h, at, window):
     """Removed bytes of runs of windows: offsets count back from the anchor."""
     names = ["doc_id", "h", "start", "stop"]
     take = pa.array(rows)
-    return pa.RecordBatch.from_arrays([doc_id.take(take), h.take(take), pa.array(at[rows] - last, pa.int32()), pa.array(at[rows] - first + WINDOW, pa.int32())], names)
+    return pa.RecordBatch.from_arrays([doc_id.take(take), h.take(take), pa.array(at[rows] - last, pa.int32()), pa.array(at[rows] - first + window, pa.int32())], names)
 
 
-def search_groups(batches):
+def group_searcher(window: int):
     """Rows come sorted by group; whole groups are searched together."""
-    held: list[pa.Table] = []
-    count = 0
 
     def search(t: pa.Table):
         t = t.combine_chunks()
         codes = t.column("grp").combine_chunks().dictionary_encode()
         grp = np.asarray(codes.indices if isinstance(codes, pa.DictionaryArray) else codes.chunk(0).indices, dtype=np.int64)
         ints = {c: np.asarray(t.column(c), dtype=np.int64) for c in ("p1", "lo", "hi", "off")}
-        rows, first, last = repeated(grp, t.column("ctx").to_pylist(), ints["off"], ints["lo"], ints["hi"])
-        return spans_of(rows, first, last, t.column("doc_id").combine_chunks(), t.column("h").combine_chunks(), ints["p1"] + ints["off"])
-
-    for batch in batches:
-        for i in range(0, batch.num_rows, BATCH):
-            held.append(pa.Table.from_batches([batch.slice(i, BATCH)]))
-            count += held[-1].num_rows
-            if count >= BATCH:
-                t = pa.concat_tables(held)
-                grp = t.column("grp")
-                end = grp[-1]
-                cut = t.num_rows
-                while cut and grp[cut - 1] == end:  # the last group may go on
-                    cut -= 1
-                if cut:
-                    yield search(t.slice(0, cut))
-                held, count = [t.slice(cut)], t.num_rows - cut
-    if count:
-        yield search(pa.concat_tables(held))
-
-
-def splitter(step: int):
+        rows, first, last = repeated(grp, t.column("ctx").to_pylist(), ints["off"], ints["lo"], ints["hi"], window)
+        return spans_of(rows, first, last, t.column("doc_id").combine_chunks(), t.column("h").combine_chunks(), ints["p1"] + ints["off"], window)
+
+    def run(batches):
+        held: list[pa.Table] = []
+        count = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                held.append(pa.Table.from_batches([batch.slice(i, BATCH)]))
+                count += held[-1].num_rows
+                if count >= BATCH:
+                    t = pa.concat_tables(held)
+                    grp = t.column("grp")
+                    end = grp[-1]
+                    cut = t.num_rows
+                    while cut and grp[cut - 1] == end:  # the last group may go on
+                        cut -= 1
+                    if cut:
+                        yield search(t.slice(0, cut))
+                    held, count = [t.slice(cut)], t.num_rows - cut
+        if count:
+            yield search(pa.concat_tables(held))
+
+    return run
+
+
+def splitter(step: int, window: int):
     """Splits rows of groups too large for one task by blocks of ``step`` offsets: a block's
     group is the gram with the bytes that all its windows share."""
 
@@ -243,8 +258,8 @@ def splitter(step: int):
                 for b in range(lo // step, hi // step + 1):
                     near, far = b * step, b * step + step - 1
                     a, z = max(lo, near), min(hi, far)
-                    core = digest(grp, small(step), small(b), ctx[max(0, off - near) : off - far + WINDOW])
-                    whole = ctx[off - z : off - a + WINDOW]
+                    core = digest(grp, small(step), small(b), ctx[max(0, off - near) : off - far + window])
+                    whole = ctx[off - z : off - a + window]
                     out.append((i, core, digest(whole, small(a), small(z)), whole, p1 + off - z, a, z, z))
             c = list(zip(*out)) if out else [()] * 8
             rows = pa.array(c[0], pa.int64())
@@ -265,32 +280,35 @@ def by_class(rows: DataFrame, group: str, rep: list[str]) -> DataFrame:
     return classes.join(groups, group)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, gram: int, chunk: int) -> DataFrame:
     """(doc_id, h, start, stop): byte ranges, overlapping ones included, that are to go."""
     rep = ["doc_id", "h", "at", "p1", "p2"]
-    found = park(docs.mapInArrow(find_anchors, ANCHORS), "anchors")
+    every = park(docs.mapInArrow(anchor_finder(window, gram, chunk), ANCHORS), "anchors")
+    keys = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    found = park(every.join(keys, "key", "left_semi"), "repeated-grams")
     classes = park(by_class(found, "key", rep), "classes")
-    whole = found.join(classes.filter("n > 1").select("key", "dg"), ["key", "dg"]).select("doc_id", "h", F.col("p1").alias("start"), (F.col("p2") + WINDOW).alias("stop"))
+    whole = found.join(classes.filter("n > 1").select("key", "dg"), ["key", "dg"]).select("doc_id", "h", F.col("p1").alias("start"), (F.col("p2") + window).alias("stop"))
     out = [whole]
     open_ = classes.filter("classes > 1")
-    picks = open_.select("rep.*", "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "at", "p1", "p2")).alias("picks"))
+    picks = park(open_.select("rep.*", "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "at", "p1", "p2")).alias("picks")), "picks")
+    marks = marked_rows(picks)
     picks = picks.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "hh")
-    texts = docs.join(picks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("doc_id", "h", "text", "picks")
-    contexts = park(texts.mapInArrow(cut_contexts, CONTEXTS).dropDuplicates(["doc_id", "h", "p1"]), "contexts")
+    texts = docs.filter(marks("doc_id", "h")).join(picks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("doc_id", "h", "text", "picks")
+    contexts = park(texts.mapInArrow(context_cutter(window), CONTEXTS).dropDuplicates(["doc_id", "h", "p1"]), "contexts")
     for step in (None, *LEVELS):
         if step is None:
             rows = contexts
         else:
-            rows = park(hot.mapInArrow(splitter(step), CONTEXTS.replace("ctx binary", "dg binary, ctx binary")), "blocks")  # noqa: F821
+            rows = park(hot.mapInArrow(splitter(step, window), CONTEXTS.replace("ctx binary", "dg binary, ctx binary")), "blocks")  # noqa: F821
             parts = park(by_class(rows, "grp", ["doc_id", "h", "p1", "lo", "hi", "off"]), "block-classes")
-            out.append(rows.join(parts.filter("n > 1").select("grp", "dg"), ["grp", "dg"]).select("doc_id", "h", F.col("p1").alias("start"), (F.col("p1") + F.col("hi") - F.col("lo") + WINDOW).alias("stop")))
+            out.append(rows.join(parts.filter("n > 1").select("grp", "dg"), ["grp", "dg"]).select("doc_id", "h", F.col("p1").alias("start"), (F.col("p1") + F.col("hi") - F.col("lo") + window).alias("stop")))
             kept = parts.filter("classes > 1").select("grp", "dg", "rep", "classes")
             same = [F.col(f"rep.{c}").eqNullSafe(F.col(c)) for c in ("doc_id", "h", "p1")]
             rows = rows.join(kept, ["grp", "dg"]).filter(same[0] & same[1] & same[2]).dropDuplicates(["grp", "dg"]).select(*[c.split()[0] for c in CONTEXTS.split(", ")])
             rows = park(rows, "block-open")
         sizes = park(rows.groupBy("grp").agg(F.count("*").alias("classes")).filter(F.col("classes") > 1), "group-sizes")
         usual = rows.join(sizes.filter(F.col("classes") <= GROUP).select("grp"), "grp").select(*[c.split()[0] for c in CONTEXTS.split(", ")])
-        out.append(usual.repartition("grp").sortWithinPartitions("grp").mapInArrow(search_groups, SPANS))
+        out.append(usual.repartition("grp").sortWithinPartitions("grp").mapInArrow(group_searcher(window), SPANS))
         hot = rows.join(sizes.filter(F.col("classes") > GROUP).select("grp"), "grp").select(*[c.split()[0] for c in CONTEXTS.split(", ")])
         if step == 1 or hot.isEmpty():
             break
@@ -316,12 +334,12 @@ def keep(view, spans) -> tuple[bytes, int, int]:
     return body, len(view) - len(body), runs
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes) to every document.
 
-    A byte goes if a string of WINDOW bytes covers it that also starts elsewhere in any
+    A byte goes if a string of ``window`` bytes covers it that also starts elsewhere in any
     document's UTF-8 bytes, its own included; matches never cross documents and are judged
-    on the input. Null texts are empty; texts under WINDOW bytes stay; repeated rows count
+    on the input. Null texts are empty; texts under ``window`` bytes stay; repeated rows count
     as separate documents; null doc_ids are kept; an empty table gives no rows. All other
     columns of ``docs`` stay; clashing ones of the four new names are replaced.
     """
@@ -329,10 +347,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.drop(*made)
     ided = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
-    spans = repeated_spans(ided.select("doc_id", "h", "text"))
-    spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("_spans")).withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
+    spans = park(repeated_spans(ided.select("doc_id", "h", "text"), window, gram, chunk), "spans")
+    spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    marks = marked_rows(spans.select("doc_id", "h"))
+    spans = spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
     body = text_of().cast("binary")
-    out = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(body) == F.col("_h")), "left")
+    doc_id, h = F.col("doc_id").cast("long"), F.xxhash64(body)
+    held = docs.withColumn("_marked", marks(doc_id, h))
+    out = held.filter("_marked").join(spans, doc_id.eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left").drop("_d", "_h")
+    out = out.unionByName(held.filter("NOT _marked").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
 
     @F.arrow_udf("struct<n_bytes: long, n_removed: long, n_spans: long, kept: binary>")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -344,7 +367,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return out.withColumn("_cut", cut(body, F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_cut.*")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` brought up to date.
     Parts of characters that a cut leaves are dropped."""
 
@@ -352,7 +375,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def decode(kept: pa.Array) -> pa.Array:
         return pa.array([bytes(v).decode("utf-8", "ignore") for v in binary_views(kept)], pa.string())
 
-    done = remove_repeats(docs).withColumn("text", decode("kept"))
+    done = remove_repeats(docs, window, gram).withColumn("text", decode("kept"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import shingles
-from lattica.llm.common import binary_views, park, small_batches, table, text_of, trim, unique_rows, worker_state
+from lattica.llm.common import binary_views, in_slots, park, slot_bits, slot_of, small_batches, table, text_of, trim, unique_rows, worker_state
 
 WORDS = 5
 NUM, DEN = 4, 5  # the similarity, as a fraction
@@ -32,7 +32,6 @@ HEAVY_DF = 10
 HEAVY_MOST = 131_072  # bound of the broadcast list of heavy tokens
 GROUP = 24  # prefixes that a light token pairs in full
 WINDOW = 2_000_000
-SLOTS = 1 << 23
 ORDERS = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -227,23 +226,15 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("s")).union(pairs.select(F.col("y").alias("s"))).distinct()
 
 
-def slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS))
-
-
 def marked(docs: DataFrame, pairs: DataFrame):
-    """A broadcast bitmap of fixed size (1 MB) of one document for each set in ``pairs``. False
-    hits cost time only, since joins on the sets' ids follow."""
+    """A broadcast bitmap of fixed size of one document for each set in ``pairs``. False hits cost
+    time only, since joins on the sets' ids follow."""
     reps = docs.select("s", "doc_id", "th").join(ends(pairs), "s").groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
-    words = reps.select(slot().alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()  # SLOTS / 64 rows at most
-    bits = np.zeros(SLOTS // 64, np.uint64)
-    bits[np.asarray(words.column("w"), dtype=np.int64)] = np.asarray(words.column("bits"), dtype=np.int64).view(np.uint64)
-    return docs.sparkSession.sparkContext.broadcast(bits)
+    return slot_bits(reps, "doc_id", "th")
 
 
 def hits(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    at = np.asarray(batch.column("slot"), dtype=np.int64)
-    return batch.take(pa.array(np.nonzero((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))[0]))
+    return batch.filter(pa.array(in_slots(bits, batch.column("slot"))))
 
 
 def meet_elsewhere(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -254,7 +245,7 @@ def meet_elsewhere(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             yield hits(batch, held.value).drop_columns(["slot"])
 
-    both = docs.select("s", "b", "c", slot().alias("slot")).mapInArrow(scan, "s long, b array<int>, c array<int>")
+    both = docs.select("s", "b", "c", slot_of("doc_id", "th").alias("slot")).mapInArrow(scan, "s long, b array<int>, c array<int>")
     left, right = (both.select(F.col("s").alias(k), F.struct("b", "c").alias(f"of_{k}")) for k in ("x", "y"))
     found = pairs.join(left, "x").join(right, "y").filter(F.arrays_overlap("of_x.b", "of_y.b") & F.arrays_overlap("of_x.c", "of_y.c"))
     return park(found.select("x", "y").distinct(), "candidates")
@@ -297,7 +288,7 @@ def verify(texts: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
             if rows:
                 yield record("s long, items binary", zip(*rows))
 
-    sets = park(texts.select("text", slot().alias("slot")).mapInArrow(scan, "s long, items binary"), "sets")
+    sets = park(texts.select("text", slot_of("doc_id", "th").alias("slot")).mapInArrow(scan, "s long, items binary"), "sets")
     left, right = (sets.select(F.col("s").alias(k), F.col("items").alias(f"i{k}")) for k in ("x", "y"))
     return park(pairs.join(right, "y").join(left, "x").mapInArrow(verify_pairs, "x long, y long").distinct(), "links")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 _rng = np.random.default_rng(77003)
 TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -32,27 +35,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def sets_of(views: list, k: int) -> list[np.ndarray]:
-    """Each text's distinct shingles of k words; the whole sequence if it has fewer words.
-
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased. Two different
-    shingles of the corpus share a hash with a chance of about 2**-64 a pair.
-    """
-    data = np.frombuffer(b"\n".join(bytes(v).translate(LOWER) for v in views) + b"\n", np.uint8)
-    sizes = np.array([len(v) for v in views], np.int64) + 1
-    text_end = np.cumsum(sizes)
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of bytes that end with white space."""
     gap = SPACE[data]
     edge = np.diff(np.concatenate([[True], gap]).astype(np.int8))
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(data))
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(TABLE[data] * up[:-1], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * PLACE[-1])
-    del sums, gap, edge
-    upto = np.searchsorted(starts, text_end)
-    first = np.concatenate([[0], upto[:-1]])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * PLACE[-1]), starts
+
+
+def parts(view, most: int):
+    """A long text in parts of about ``most`` bytes, cut at white space."""
+    body, a = bytes(view), 0
+    while a < len(body):
+        m = GAP.search(body, a + most)
+        b = m.end() if m else len(body)
+        yield body[a:b]
+        a = b
+
+
+def sets_of(views: list, k: int, most: int = 2_000_000) -> list[np.ndarray]:
+    """Each text's distinct shingles of k words; the whole sequence if it has fewer words.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased. Two different
+    shingles of the corpus share a hash with a chance of about 2**-64 a pair. A text of more
+    than ``most`` bytes must come alone; its words are hashed part by part.
+    """
+    if len(views) == 1 and len(views[0]) > most:
+        words = np.concatenate([words_of(np.frombuffer(p.translate(LOWER) + b"\n", np.uint8))[0] for p in parts(views[0], most)])
+        first, upto = np.zeros(1, np.int64), np.array([len(words)])
+    else:
+        words, starts = words_of(np.frombuffer(b"\n".join(bytes(v).translate(LOWER) for v in views) + b"\n", np.uint8))
+        upto = np.searchsorted(starts, np.cumsum(np.array([len(v) for v in views], np.int64) + 1))
+        first = np.concatenate([[0], upto[:-1]])
     if len(words) >= k:
         rolled = sum((words[i : len(words) - k + 1 + i] * PLACE[i] for i in range(k)), np.zeros(len(words) - k + 1, np.uint64))
         rolled = mix(rolled)
@@ -72,9 +89,12 @@ def sets_of(views: list, k: int) -> list[np.ndarray]:
 
 
 def ranges(views: list, most: int = 500_000):
-    """Ranges of texts of about ``most`` bytes."""
+    """Ranges of texts of about ``most`` bytes; a text of more is alone."""
     a = total = 0
     for i, v in enumerate(views):
+        if len(v) >= most and i > a:
+            yield a, i
+            a, total = i, 0
         total += len(v)
         if total >= most:
             yield a, i + 1

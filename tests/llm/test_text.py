@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import deepshallow, op2_suffix, op3_jaccard
+from lattica.llm import deepshallow, op2_suffix, op3_jaccard, shingles
 from lattica.llm.op4_packing import WordTokenizer, default_tokenizer, pack_documents, plan
 from lattica.llm.op8_licenses import BASE, automaton, evaluate, postfix, scan, scan_licenses
 from lattica.llm.op9_mixing import mix, mixed_documents
@@ -45,15 +45,15 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [4096, 3])
-def test_repeated_passages(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "chunk"), [(4096, 1_000_000), (3, 700)])
+def test_repeated_passages(spark, monkeypatch, group, chunk):
     monkeypatch.setattr(op2_suffix, "GROUP", group)
     rng = random.Random(4)
     shared, other = words(120, rng), words(90, rng)
     texts = [words(60, rng) + shared + words(30, rng) for _ in range(8)] + [shared[: 380 + i] + words(50, rng) for i in range(8)]
     texts += [None, "", "a" * 900, "ab" * 450, words(300, rng), shared, shared, other + words(5, rng) + other, words(20, rng) + shared[:399], shared[100:] + "é" * 300]
     df = docs(spark, texts)
-    got = op2_suffix.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("x"), "h").collect()
+    got = op2_suffix.remove_repeats(df, chunk=chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("x"), "h").collect()
     want = removed(texts)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.x) for r in got} == dict(enumerate(want))
     twice = docs(spark, [(1, shared), (1, shared), (None, shared[50:]), (None, None)])
@@ -64,6 +64,19 @@ def test_repeated_passages(spark, monkeypatch, group):
     assert kept.columns == df.columns and kept.count() == len(texts)
 
 
+def test_long_texts_in_pieces():
+    """Pieces of a long text hold each window once, and its shingles are those of the whole."""
+    rng = random.Random(9)
+    for n in (0, 1, 399, 400, 401, 1399, 1400, 1401, 5000):
+        starts = [a + w for part in op2_suffix.pieces([bytes(n)], 400, 1000) for _, a, v in part for w in range(max(0, len(v) - 399))]
+        assert starts == list(range(max(0, n - 399)))
+    body = words(3000, rng).encode() + b" \n\t" + words(500, rng).encode()
+    assert all((a == b).all() for a, b in zip(shingles.sets_of([body], 5, most=700), shingles.sets_of([body], 5)))
+    short = [b"", b"a", b"a b c", body, b"d e f g h i"]
+    alone = [s for a, b in shingles.ranges(short, 1000) for s in shingles.sets_of(short[a:b], 5, most=1000)]
+    assert len(alone) == 5 and all((a == b).all() for a, b in zip(alone, shingles.sets_of(short, 5)))
+
+
 def test_deep_shallow_sort():
     rng = random.Random(1)
     for _ in range(40):
