@@ -211,6 +211,13 @@ def can_link(a: Column, b: Column, c: Column | int = 0) -> Column:
     return fits(a, b) & fits(b, a) & (DEN * F.least(a["n"], b["n"]) >= NUM * F.greatest(a["n"], b["n"]))
 
 
+def first_shared(a: Column, b: Column) -> Column:
+    """False if two sets cannot link by rows of one token as the first that they share: none of
+    the ``pos`` tokens before it in either prefix is common."""
+    least = need(a["n"], b["n"])
+    return (a["pos"] <= a["n"] - least) & (b["pos"] <= b["n"] - least) & can_link(a, b)
+
+
 def own(f: Column) -> Column:
     """The share of tokens that are not wide: the less, the more central a set is among copies."""
     return (prefix(f["n"]) - f["g"]) / f["n"]
@@ -320,7 +327,7 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     """Each row's set with its token's hub, the most central set. Pairs that share narrow tokens
     too are among the paired ones already, so here none count."""
     hubs = rows.groupBy("tok").agg(F.min(F.struct(own(F.col("f")).alias("k"), F.col("f.s").alias("s"), "f")).alias("hub")).select("tok", F.col("hub.f").alias("b"))
-    return rows.select("tok", F.col("f").alias("a")).join(hubs, "tok").filter((F.col("a.s") != F.col("b.s")) & can_link(F.col("a"), F.col("b")))
+    return rows.select("tok", F.col("f").alias("a")).join(hubs, "tok").filter((F.col("a.s") != F.col("b.s")) & first_shared(F.col("a"), F.col("b")))
 
 
 def apart_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -331,7 +338,7 @@ def apart_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
     placed = placed.join(parts.select("tok", F.col("top.root").alias("giant")), "tok")
     odd = placed.filter("root <> giant").select("tok", F.col("f").alias("a"), F.col("root").alias("ra"))
     other = placed.select("tok", F.col("f").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("giant")).alias("main"))
-    return odd.join(other, "tok").filter((F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a.s") < F.col("b.s"))) & can_link(F.col("a"), F.col("b")))
+    return odd.join(other, "tok").filter((F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a.s") < F.col("b.s"))) & first_shared(F.col("a"), F.col("b")))
 
 
 def link_classes(texts: DataFrame, group: int = GROUP, heavy_df: int = HEAVY_DF, heavy_most: int = HEAVY_MOST) -> tuple[DataFrame, DataFrame]:
@@ -347,15 +354,16 @@ def link_classes(texts: DataFrame, group: int = GROUP, heavy_df: int = HEAVY_DF,
     rows = docs.filter("n > 0")
     light = rows.select(F.explode("light").alias("tok"), "s", "n")
     met = park(light.repartition("tok").sortWithinPartitions("tok", "n", "s").mapInArrow(meet_on_tokens(group), MET), "met")
-    deep = rows.filter("size(heavy) > 0").groupBy("s").agg(F.first("heavy").alias("heavy")).select(F.explode(F.col("heavy").cast("array<long>")).alias("tok"), "s")
-    wide = park(deep.union(met.filter(F.col("kind") == ROW).select(F.col("a").alias("tok"), F.col("b").alias("s"))), "wide")
+    deep = rows.filter("size(heavy) > 0").groupBy("s").agg(F.first("heavy").alias("heavy")).select(F.posexplode(F.col("heavy").cast("array<long>")).alias("i", "tok"), "s")
+    wide = park(deep.unionByName(met.filter(F.col("kind") == ROW).select(F.lit(None).cast("int").alias("i"), F.col("a").alias("tok"), F.col("b").alias("s"))), "wide")
 
     facts = rows.select("s", "n", "last", F.size("heavy").alias("h")).dropDuplicates(["s"]).join(wide.groupBy("s").agg(F.count("*").cast("int").alias("g")), "s", "left")
     facts = park(facts.fillna(0, ["g"]).select(*FACTS), "facts")
     counted = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.count("*").cast("int").alias("c")).withColumnsRenamed({"a": "p", "b": "q"})
     close = with_facts(counted, facts, "p", "q").filter(can_link(F.col("a"), F.col("b"), F.col("c")))
-    rows = park(wide.join(facts.select("s", F.struct(*FACTS).alias("f")), "s").drop("s"), "wide-facts")
-    first = park(oriented(close.select("a", "b").union(star_pairs(rows).select("a", "b"))), "pairs")
+    pos = F.coalesce(prefix(F.col("n")) - F.col("h") + F.col("i"), F.lit(0))  # not known of light tokens
+    rows = park(wide.join(facts, "s").select("tok", F.struct(*FACTS, pos.alias("pos")).alias("f")), "wide-facts")
+    first = park(oriented(close).union(oriented(star_pairs(rows))).distinct(), "pairs")
     links = verify(texts, docs, first)
     roots = components(links)
 
