@@ -16,6 +16,8 @@ from lattica.llm.op4_packing import default_tokenizer, pack_documents
 from lattica.llm.op7_toxicity import score_documents, train
 from lattica.llm.op9_mixing import mixed_documents
 
+PASSAGE_BYTES = 256  # 50 words of the corpus are longer, but for lists of letters and numbers
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -29,8 +31,8 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur more than once."""
-    return without_repeats(docs)
+    """All documents, without the passages of some 50 words that occur more than once."""
+    return without_repeats(docs, window=PASSAGE_BYTES, gram=48)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
