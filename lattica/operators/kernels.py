@@ -1,7 +1,8 @@
 """Orders and flows that are sequential by nature: one executor task for a graph.
 
-Each input is cut down first by distributed steps. A graph beyond ``limit`` edges after
-that is an error, so that no task gathers more than it can hold.
+Searches and flows are first cut down, by distributed steps, to what lies between their
+ends; the lexicographic order and the first cycle need the whole graph. A graph beyond
+``limit`` edges is an error, so that no task gathers more than it can hold.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import heapq
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.traverse import cyclic_core, reach
@@ -34,20 +35,25 @@ def children_of(pdf: pd.DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def dfs(g: PropertyGraph, start: str, limit: int = LIMIT) -> DataFrame:
+def dfs(g: PropertyGraph, start: str, stop: Column | None = None, limit: int = LIMIT) -> DataFrame:
     """(id, ord) in preorder, neighbours ascending; no rows for an unknown start. Only
-    what the start reaches enters the kernel."""
+    what the start reaches enters the kernel. ``stop`` is a condition on vertex columns; the
+    visit ends after the first node that meets it."""
     first = g.vertices.filter(F.col("id") == start).select("id")
     inside = reach(g.arcs(), first).union(first).distinct()
-    rows = inside.withColumnRenamed("id", "src").join(g.arcs().select("src", "dst"), "src", "left")
+    ends = g.vertices.select(F.col("id").alias("src"), F.coalesce(stop if stop is not None else F.lit(False), F.lit(False)).alias("last"))
+    rows = inside.withColumnRenamed("id", "src").join(ends, "src", "left").join(g.arcs().select("src", "dst"), "src", "left")
 
     def visit(pdf: pd.DataFrame) -> pd.DataFrame:
         children, seen, order, stack = children_of(pdf), set(), [], [start]
+        last = set(pdf.loc[pdf["last"].fillna(False).astype(bool), "src"])
         while stack:
             v = stack.pop()
             if v not in seen:
                 seen.add(v)
                 order.append(v)
+                if v in last:
+                    break
                 stack += [c for c in reversed(children[v]) if c not in seen]
         return pd.DataFrame({"id": order, "ord": range(len(order))})
 
@@ -137,12 +143,12 @@ def max_flow(g: PropertyGraph, source: str, sink: str, limit: int = LIMIT) -> tu
             if a != b and w > 0:
                 room[a][b] = room[a].get(b, 0.0) + w
                 room[b].setdefault(a, 0.0)
-        full = {a: dict(m) for a, m in room.items()}
+        full, order = {a: dict(m) for a, m in room.items()}, {a: sorted(m) for a, m in room.items()}
         while True:
             before, queue = {source: None}, deque([source])
             while queue and sink not in before:
                 v = queue.popleft()
-                for w in sorted(room[v]):
+                for w in order.get(v, ()):
                     if w not in before and room[v][w] > 0:
                         before[w] = v
                         queue.append(w)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.components import connected
 from lattica.operators.lookup import degrees, leaves, roots
-from lattica.operators.traverse import pair_levels
+from lattica.operators.traverse import grown, pair_levels, source_batches, whole
 from lattica.plans.graph import PropertyGraph
+from lattica.plans.ordering import with_ordinal
 from lattica.plans.scratch import cut
 
 
@@ -19,38 +20,45 @@ def degree_centrality(g: PropertyGraph) -> DataFrame:
 
 
 def ranking(scores: DataFrame) -> DataFrame:
-    """(id, score, rank) with rank by score descending, then id. Ranks come from counts of
-    better rows on the distinct scores, so no task sorts the whole table."""
-    per = scores.groupBy("score").count()
-    ahead = F.coalesce(F.sum("count").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.row_number().over(Window.partitionBy("score").orderBy("id"))
-    return scores.withColumn("_local", local).join(per.withColumn("_ahead", ahead).select("score", "_ahead"), "score").select("id", "score", (F.col("_ahead") + F.col("_local")).cast("long").alias("rank"))
+    """(id, score, rank) with rank by score descending, then id. Ranges of the order number
+    their own rows, so no task sorts the whole table."""
+    return with_ordinal(scores.select("id", "score"), [F.col("score").desc(), F.col("id")], "rank", 1)
 
 
 def closeness(g: PropertyGraph, sources: DataFrame | None = None) -> DataFrame:
     """K3: (id, score): nodes reachable over the sum of their distances; 0 if there are none."""
-    levels = pair_levels(g, g.arcs(), sources).filter("d > 0").groupBy(F.col("s").alias("id")).agg((F.count("*") / F.sum("d")).alias("score"))
-    ids = sources if sources is not None else g.vertices.select("id")
-    return ids.select("id").join(levels, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    arcs = cut(g.arcs().select("src", "dst").distinct())
+    per = []
+    for ids in source_batches(g, sources):
+        far = whole(pair_levels(arcs, ids)).filter("d > 0").groupBy(F.col("s").alias("id")).agg((F.count("*") / F.sum("d")).alias("score"))
+        per = grown(per, cut(ids.join(far, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))))
+    return whole(per)
 
 
 def betweenness(g: PropertyGraph) -> DataFrame:
     """K2: (id, score): shortest paths through a node, ends excluded; halved if undirected.
 
-    One breadth-first table for all sources, then dependencies gathered level by level from
-    the farthest nodes back.
+    Breadth-first tables, one for each distance, for a batch of sources at a time; then
+    dependencies are gathered from the farthest nodes back, each table touched once.
     """
     arcs = cut(g.arcs().filter("src <> dst").select("src", "dst").distinct())
-    levels = cut(pair_levels(g, arcs))
-    top = levels.agg(F.max("d")).first()[0] or 0
-    delta = levels.select("s", "id", "d", "sigma", F.lit(0.0).alias("delta"))
-    for d in range(top, 0, -1):
-        far = delta.filter(F.col("d") == d).select("s", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("w"))
-        near = delta.filter(F.col("d") == d - 1).select("s", F.col("id").alias("src"), F.col("sigma").alias("sv"))
-        gain = far.join(arcs, "dst").join(near, ["s", "src"]).groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("sv") * F.col("w")).alias("gain"))
-        delta = cut(delta.join(gain, ["s", "id"], "left").select("s", "id", "d", "sigma", (F.col("delta") + F.coalesce("gain", F.lit(0.0))).alias("delta")))
-    total = delta.filter("s <> id").groupBy("id").agg(F.sum("delta").alias("score"))
+    sums = []
+    for ids in source_batches(g):
+        levels = pair_levels(arcs, ids)
+        if not levels:
+            continue
+        far, parts = levels[-1].withColumn("delta", F.lit(0.0)), []
+        for near in reversed(levels[1:-1]):  # the first table holds the sources themselves
+            share = far.select("s", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("w"))
+            gain = share.join(arcs, "dst").join(near.select("s", F.col("id").alias("src"), F.col("sigma").alias("sv")), ["s", "src"]).groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("sv") * F.col("w")).alias("delta"))
+            far = cut(near.join(gain, ["s", "id"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
+            parts = grown(parts, far.groupBy("id").agg(F.sum("delta").alias("score")))
+        if parts:
+            sums = grown(sums, cut(whole(parts).groupBy("id").agg(F.sum("score").alias("score"))))
     half = 1.0 if g.directed else 0.5
+    if not sums:
+        return g.vertices.select("id", F.lit(0.0).alias("score"))
+    total = whole(sums).groupBy("id").agg(F.sum("score").alias("score"))
     return g.vertices.select("id").join(total, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * half).alias("score"))
 
 
@@ -76,13 +84,16 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, max_iter: int = 100, toler
         dangling = row.dangling or 0.0
         if row.change < tolerance:
             return state.select("id", F.col("r").alias("score")), i, True
-    return state.select("id", F.col("r").alias("score")), max_iter, n == 0
+    return state.select("id", F.col("r").alias("score")), max_iter, False
 
 
 def diameter(g: PropertyGraph, components: int | None = None) -> int:
     """The greatest distance in the undirected view; -1 if empty or not connected."""
     parts = components if components is not None else connected(g).select("component").distinct().count()
-    return int(pair_levels(g, g.links()).agg(F.max("d")).first()[0]) if parts == 1 else -1
+    if parts != 1:
+        return -1
+    arcs = cut(g.links().select("src", "dst").distinct())
+    return max(len(pair_levels(arcs, ids)) - 1 for ids in source_batches(g))
 
 
 def analytics(g: PropertyGraph, with_diameter: bool = True) -> DataFrame:

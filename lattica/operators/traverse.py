@@ -16,6 +16,16 @@ from lattica.plans.ordering import with_ordinal
 from lattica.plans.scratch import cut
 
 GUARD = 100_000  # nodes for results that have a row for each pair of nodes
+MERGE = 32  # level tables that a loop keeps apart
+
+
+def whole(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def grown(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """``parts`` and one more table; many are merged, so that plans stay short."""
+    return [*parts, new] if len(parts) < MERGE else [cut(whole([*parts, new]))]
 
 
 def bfs(g: PropertyGraph, start: str, stop: Column | None = None) -> DataFrame:
@@ -27,16 +37,16 @@ def bfs(g: PropertyGraph, start: str, stop: Column | None = None) -> DataFrame:
     """
     arcs = cut(g.arcs().select("src", "dst").distinct())
     front = cut(g.vertices.filter(F.col("id") == start).select("id", F.lit(0).cast("long").alias("ord"), F.lit(0).alias("level")))
-    levels, base = [front], 1
+    levels, base, depth = [front], 1, 0
     while not front.isEmpty():
-        seen = reduce(DataFrame.union, [x.select("id") for x in levels])
         found = arcs.join(front.select(F.col("id").alias("src"), "ord"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("ord").alias("by"))
-        fresh = found.join(seen, "id", "left_anti")
+        fresh = found.join(whole(levels).select("id"), "id", "left_anti")
         numbered = with_ordinal(fresh, [F.col("by"), F.col("id")], "ord", base)
-        front = cut(numbered.select("id", "ord", F.lit(len(levels)).alias("level")))
-        levels.append(front)
+        depth += 1
+        front = cut(numbered.select("id", "ord", F.lit(depth).alias("level")))
+        levels = grown(levels, front)
         base += front.count()
-    out = reduce(DataFrame.union, levels)
+    out = whole(levels)
     if stop is not None:
         last = out.join(g.vertices.filter(stop).select("id"), "id", "left_semi").agg(F.min("ord")).first()[0]
         out = out if last is None else out.filter(F.col("ord") <= last)
@@ -71,18 +81,17 @@ def ancestors(g: PropertyGraph, id_: str) -> DataFrame:
 def transitive_closure(g: PropertyGraph) -> PropertyGraph:
     """An edge of weight 1 from every node to every other node it reaches.
 
-    Path doubling on the delta: round k finds what lies up to 2**k steps away.
+    Semi-naive: a round joins only the pairs that the last one found with the edges, and
+    keeps those not known before.
     """
     g.need_directed("transitive closure")
-    pairs = cut(g.edges.select("src", "dst").distinct())
-    n = pairs.count()
-    while True:
-        longer = pairs.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        pairs = cut(pairs.union(longer).distinct())
-        m = pairs.count()
-        if m == n:
-            return PropertyGraph.of(g.vertices, pairs.filter("src <> dst").withColumn("weight", F.lit(1.0)))
-        n = m
+    arcs = cut(g.edges.select("src", "dst").distinct())
+    fresh, known = arcs, [arcs]
+    while not fresh.isEmpty():
+        longer = fresh.withColumnRenamed("dst", "mid").join(arcs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        fresh = cut(longer.join(whole(known), ["src", "dst"], "left_anti"))
+        known = grown(known, fresh)
+    return PropertyGraph.of(g.vertices, whole(known).filter("src <> dst").withColumn("weight", F.lit(1.0)))
 
 
 def distances(g: PropertyGraph, source: str, target: str | None = None) -> DataFrame:
@@ -189,57 +198,62 @@ def has_cycle(g: PropertyGraph) -> bool:
     return g.directed and not cyclic_core(g).isEmpty()
 
 
-def need_dag(g: PropertyGraph, what: str) -> None:
+def peel(vertices: DataFrame, arcs: DataFrame, start: float = 0.0) -> DataFrame:
+    """(id, level, t) of every node that no cycle leads to: the greatest number of arcs on a way
+    to it, and the greatest sum of weights of one, ``start`` at least and at its beginning.
+
+    A round touches the arcs of the nodes that became free in the last one and the nodes that
+    still wait for other predecessors, not the whole graph.
+    """
+    waits = cut(arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")))
+    front = cut(vertices.select("id").join(waits, "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(start).alias("t")))
+    done, open_, level = [front], None, 0
+    while not front.isEmpty():
+        met = arcs.join(front.select(F.col("id").alias("src"), "t"), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("c"), F.max(F.col("t") + F.col("weight")).alias("t"))
+        if open_ is not None:
+            met = met.union(open_).groupBy("id").agg(F.sum("c").alias("c"), F.max("t").alias("t"))
+        state = cut(met.join(waits, "id").select("id", "c", "t", (F.col("c") == F.col("n")).alias("free")))
+        level += 1
+        front = state.filter("free").select("id", F.lit(level).alias("level"), F.greatest("t", F.lit(start)).alias("t"))
+        open_ = state.filter("NOT free").select("id", "c", "t")
+        done = grown(done, front)
+    return whole(done)
+
+
+def peeled(g: PropertyGraph, what: str) -> tuple[DataFrame, DataFrame]:
+    """The arcs of a directed graph and its peeled nodes; a cycle is an error."""
     g.need_directed(what)
-    if has_cycle(g):
+    arcs = cut(g.edges.select("src", "dst", "weight"))
+    out = cut(peel(g.vertices, arcs))
+    if out.count() < g.order():
         raise GraphError("graph contains a cycle")
-
-
-def longest(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(id, t): the greatest sum of weights of a walk that ends at the node, at least 0."""
-    t = cut(vertices.select("id", F.lit(0.0).alias("t")))
-    changed = t
-    while True:
-        offers = arcs.join(changed.select(F.col("id").alias("src"), "t"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("t") + F.col("weight")).alias("o"))
-        state = cut(t.join(offers, "id", "left").select("id", F.greatest("t", "o").alias("t"), F.coalesce(F.col("o") > F.col("t"), F.lit(False)).alias("up")))
-        t, changed = state.select("id", "t"), state.filter("up").select("id", "t")
-        if changed.isEmpty():
-            return t
+    return arcs, out
 
 
 def topological_levels(g: PropertyGraph) -> DataFrame:
     """(id, level): the greatest number of edges on a way to the node. A valid order by
     (level, id), computed in parallel; the lexicographic order is a kernel."""
-    need_dag(g, "topological order")
-    arcs = cut(g.edges.select("src", "dst", F.lit(1.0).alias("weight")))
-    return longest(g.vertices, arcs).select("id", F.col("t").cast("int").alias("level"))
+    return peeled(g, "topological order")[1].select("id", "level")
 
 
 def critical_path(g: PropertyGraph) -> tuple[DataFrame, float]:
     """(id, earliest, latest, slack, critical) of every node, and the length.
 
-    Critical nodes are all nodes of slack 0, which can form several parallel paths.
+    Critical nodes are all nodes of slack 0, which can form several parallel paths. Latest
+    times are the earliest ones of the reversed graph, counted down from the length.
     """
-    need_dag(g, "critical path")
-    arcs = cut(g.edges.select("src", "dst", "weight"))
-    early = cut(longest(g.vertices, arcs))
-    length = early.agg(F.max("t")).first()[0] or 0.0
-    late = cut(early.select("id", F.lit(float(length)).alias("t")))
-    changed = late
-    while True:
-        offers = arcs.join(changed.select(F.col("id").alias("dst"), "t"), "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.col("t") - F.col("weight")).alias("o"))
-        state = cut(late.join(offers, "id", "left").select("id", F.least("t", "o").alias("t"), F.coalesce(F.col("o") < F.col("t"), F.lit(False)).alias("down")))
-        late, changed = state.select("id", "t"), state.filter("down").select("id", "t")
-        if changed.isEmpty():
-            break
-    slack = (F.col("latest") - F.col("earliest")).alias("slack")
-    both = early.withColumnRenamed("t", "earliest").join(late.withColumnRenamed("t", "latest"), "id")
-    return both.select("id", "earliest", "latest", slack, (F.col("latest") == F.col("earliest")).alias("critical")), float(length)
+    arcs, out = peeled(g, "critical path")
+    early = out.select("id", F.col("t").alias("earliest"))
+    length = float(early.agg(F.max("earliest")).first()[0] or 0.0)
+    late = peel(g.vertices, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), -length)
+    both = early.join(late.select("id", (0.0 - F.col("t")).alias("latest")), "id")
+    return both.select("id", "earliest", "latest", (F.col("latest") - F.col("earliest")).alias("slack"), (F.col("latest") == F.col("earliest")).alias("critical")), length
 
 
 def simple_paths(g: PropertyGraph, source: str, target: str, most: int = 5, hops: int = 10) -> DataFrame:
     """(path): the first ``most`` simple paths of up to ``hops`` edges, in lexicographic
-    order of their nodes. Only nodes between the ends take part in the enumeration."""
+    order of their nodes. Only nodes between the ends take part in the enumeration, and a
+    prefix goes on only to nodes from which the hops left can reach the target."""
     spark = g.vertices.sparkSession
     if source == target:
         return spark.createDataFrame([([source],)], "path array<string>")
@@ -247,30 +261,47 @@ def simple_paths(g: PropertyGraph, source: str, target: str, most: int = 5, hops
     flipped = g.arcs().select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     between = cut(reach(g.arcs(), start).union(start.select("id")).join(reach(flipped, end).union(end.select("id")), "id", "left_semi").distinct())
     arcs = cut(g.arcs().select("src", "dst").distinct().join(between.withColumnRenamed("id", "src"), "src", "left_semi").join(between.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    near = [cut(end.select("id", F.lit(0).alias("left")))]
+    for left in range(1, hops):
+        step = arcs.join(near[-1].select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+        near.append(cut(step.join(whole(near), "id", "left_anti").select("id", F.lit(left).alias("left"))))
+        if near[-1].isEmpty():
+            break
+    arcs = cut(arcs.join(whole(near).withColumnRenamed("id", "dst"), "dst").select("src", "dst", "left"))
     now = cut(start.select(F.array("id").alias("path")))
     done = []
-    for _ in range(hops):
-        grown = now.withColumn("src", F.element_at("path", -1)).join(arcs, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"))
-        grown = cut(grown)
-        done.append(grown.filter(F.element_at("path", -1) == target).orderBy("path").limit(most))
-        now = grown.filter(F.element_at("path", -1) != target)
+    for used in range(1, hops + 1):
+        longer = now.withColumn("src", F.element_at("path", -1)).join(arcs.filter(F.col("left") <= hops - used), "src").filter(~F.array_contains("path", F.col("dst")))
+        longer = cut(longer.select(F.array_append("path", F.col("dst")).alias("path")))
+        done.append(longer.filter(F.element_at("path", -1) == target).orderBy("path").limit(most))
+        now = longer.filter(F.element_at("path", -1) != target)
         if now.isEmpty():
             break
     return reduce(DataFrame.union, done).orderBy("path").limit(most)
 
 
-def pair_levels(g: PropertyGraph, arcs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(s, id, d, sigma): unweighted distance and number of shortest paths from every source."""
-    n = g.order()
-    if n > GUARD and sources is None:
-        raise GraphError(f"distances of all pairs of {n} nodes exceed the limit of {GUARD} nodes; name the sources")
-    arcs = cut(arcs.select("src", "dst").distinct())
-    ids = sources if sources is not None else g.vertices.select("id")
-    front = cut(ids.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
-    seen = front
-    while True:
-        step = front.select("s", F.col("id").alias("src"), "d", "sigma").join(arcs, "src").groupBy("s", F.col("dst").alias("id")).agg((F.first("d") + 1).alias("d"), F.sum("sigma").alias("sigma"))
-        front = cut(step.join(seen.select("s", "id"), ["s", "id"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front.select(seen.columns)))
+def source_batches(g: PropertyGraph, sources: DataFrame | None = None, size: int = 2_000):
+    """The sources, or all nodes, in batches of a bounded number: a search from a batch has at
+    most that many rows for each node."""
+    ids = (sources if sources is not None else g.vertices).select("id").distinct()
+    n = ids.count()
+    if n <= size:
+        yield cut(ids)
+        return
+    batches = -(-n // size)
+    dealt = cut(ids.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))))
+    for i in range(batches):
+        yield dealt.filter(F.col("batch") == i).select("id")
+
+
+def pair_levels(arcs: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """One table (s, id, d, sigma) for each distance d: the nodes that many steps from each
+    source and the number of shortest paths. ``arcs`` are distinct and cut."""
+    front = cut(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
+    levels, seen = [], [front.select("s", "id")]
+    while not front.isEmpty():
+        levels.append(front)
+        step = front.select("s", F.col("id").alias("src"), "sigma").join(arcs, "src").groupBy("s", F.col("dst").alias("id")).agg(F.lit(len(levels)).alias("d"), F.sum("sigma").alias("sigma"))
+        front = cut(step.join(whole(seen), ["s", "id"], "left_anti"))
+        seen = grown(seen, front.select("s", "id"))
+    return levels

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint: loops keep short plans and survive lost executors.
 
-    The folder is the one of spark.checkpoint.dir; a temporary one is made only where none
-    is set, as in tests.
+    The folder is the one of spark.checkpoint.dir. Where none is set, a session on one machine,
+    as in tests, gets a temporary one; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lattica-graph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lattica-graph-"))
     return df.checkpoint(eager=True)

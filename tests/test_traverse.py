@@ -32,6 +32,30 @@ def test_bfs_and_early_stop(spark):
     assert ids(T.bfs(g, "nowhere"), "ord") == []
 
 
+def test_dfs_early_stop(spark):
+    g = build(spark, "a>b b>c a>d d>e")
+    assert ids(K.dfs(g, "a"), "ord") == ["a", "b", "c", "d", "e"]
+    assert ids(K.dfs(g, "a", F.col("id").isin("c", "e")), "ord") == ["a", "b", "c"]
+    assert ids(K.dfs(g, "a", F.col("id") == "none"), "ord") == ["a", "b", "c", "d", "e"]
+
+
+def test_levels_and_slack_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "MERGE", 2)  # tables of levels are merged often
+    rng = random.Random(4)
+    arcs = {(f"n{a:02}", f"n{b:02}"): rng.randint(-2, 9) for a, b in (sorted(rng.sample(range(24), 2)) for _ in range(50))}
+    g = build(spark, " ".join(f"{a}>{b}:{w}" for (a, b), w in arcs.items()), extra=("alone",))
+    names = sorted({x for e in arcs for x in e})
+    level, early = dict.fromkeys([*names, "alone"], 0), dict.fromkeys([*names, "alone"], 0)
+    for a, b in sorted(arcs):  # sorted by start: all ways to a node are known before its own arcs
+        level[b], early[b] = max(level[b], level[a] + 1), max(early[b], early[a] + arcs[a, b])
+    late = dict.fromkeys(level, max(early.values()))
+    for a, b in sorted(arcs, reverse=True):
+        late[a] = min(late[a], late[b] - arcs[a, b])
+    assert {r.id: r.level for r in T.topological_levels(g).collect()} == level
+    rows, length = T.critical_path(g)
+    assert length == max(early.values()) and {r.id: (r.earliest, r.latest, r.critical) for r in rows.collect()} == {k: (early[k], late[k], early[k] == late[k]) for k in level}
+
+
 @pytest.mark.parametrize(
     ("name", "start", "bfs", "dfs"),
     [
