@@ -26,9 +26,9 @@ from lattica.llm import deepshallow
 from lattica.llm.common import binary_views, marked_rows, park, small_batches, table, text_of, worker_state
 
 WINDOW, GRAM = 400, 64
-CHUNK = 1_000_000
+CHUNK = 400_000
 GROUP = 4096  # contexts of one gram that one task sorts together
-BATCH = 12_000
+BATCH = 6_000
 LEVELS = (64, 8, 1)
 
 _rng = np.random.default_rng(20240601)
@@ -334,14 +334,15 @@ def keep(view, spans) -> tuple[bytes, int, int]:
     return body, len(view) - len(body), runs
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes) to every document.
 
     A byte goes if a string of ``window`` bytes covers it that also starts elsewhere in any
     document's UTF-8 bytes, its own included; matches never cross documents and are judged
     on the input. Null texts are empty; texts under ``window`` bytes stay; repeated rows count
     as separate documents; null doc_ids are kept; an empty table gives no rows. All other
-    columns of ``docs`` stay; clashing ones of the four new names are replaced.
+    columns of ``docs`` stay; clashing ones of the four new names are replaced. ``as_text``
+    gives kept as a string, without parts of characters that a cut leaves.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
     small_batches(docs.sparkSession)
@@ -353,29 +354,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
     spans = spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
     body = text_of().cast("binary")
     doc_id, h = F.col("doc_id").cast("long"), F.xxhash64(body)
-    held = docs.withColumn("_marked", marks(doc_id, h))
-    out = held.filter("_marked").join(spans, doc_id.eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left").drop("_d", "_h")
-    out = out.unionByName(held.filter("NOT _marked").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
 
-    @F.arrow_udf("struct<n_bytes: long, n_removed: long, n_spans: long, kept: binary>")
+    @F.arrow_udf(f"struct<n_bytes: long, n_removed: long, n_spans: long, kept: {'string' if as_text else 'binary'}>")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         views, found = binary_views(text), spans.to_pylist()
         parts = [keep(v, s) for v, s in zip(views, found)]
-        arrays = [pa.array([len(v) for v in views], pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int64()), pa.array([p[0] for p in parts], pa.binary())]
+        bodies = pa.array([p[0].decode("utf-8", "ignore") for p in parts], pa.string()) if as_text else pa.array([p[0] for p in parts], pa.binary())
+        arrays = [pa.array([len(v) for v in views], pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int64()), bodies]
         return pa.StructArray.from_arrays(arrays, made)
 
-    return out.withColumn("_cut", cut(body, F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_cut.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.withColumn("_marked", marks(doc_id, h))
+    some = held.filter("_marked").join(spans, doc_id.eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left")
+    some = some.withColumn("_cut", cut(body, F.col("_spans"))).select(*columns, "_cut.*")
+    none = [F.octet_length(body).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), text_of() if as_text else body]
+    return some.unionByName(held.filter("NOT _marked").select(*columns, *[c.alias(k) for c, k in zip(none, made)]))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` brought up to date.
     Parts of characters that a cut leaves are dropped."""
-
-    @F.arrow_udf("string")
-    def decode(kept: pa.Array) -> pa.Array:
-        return pa.array([bytes(v).decode("utf-8", "ignore") for v in binary_views(kept)], pa.string())
-
-    done = remove_repeats(docs, window, gram).withColumn("text", decode("kept"))
+    done = remove_repeats(docs, window, gram, as_text=True).withColumn("text", F.col("kept"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])
