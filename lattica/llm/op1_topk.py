@@ -13,7 +13,7 @@ from lattica.llm import vectors as V
 from lattica.llm.common import park, table
 
 SCALE = 64.0
-LEAF, FAN = 48, 48
+LEAF, FAN, FLAT = 256, 16, 0.6
 LONG = (-(2**63), 2**63 - 1)
 
 
@@ -27,20 +27,22 @@ class Node:
         self.norm = float(np.sqrt(centre @ centre))
 
 
-def cover_tree(mat: np.ndarray) -> Node:
-    """Batch-built cover tree. A node of radius r is split by centres farther than r/2 apart
-    that cover it within r/2. A node that would need over FAN centres (no structure left at
-    this scale) or that has at most LEAF rows stays a leaf, scored as one dense tile."""
+def cover_tree(mat: np.ndarray, leaf: int = LEAF) -> Node:
+    """Batch-built cover tree. A node of over ``leaf`` rows is split by farthest-first centres,
+    until they cover it within half its radius or there are FAN of them; its children are
+    split in turn. Where the split shows no structure, the rows lying on average in leaves of
+    more than FLAT of its radius, the node becomes a leaf: its parts could not be ruled out
+    one by one, and one dense tile is cheaper."""
     far = np.sqrt(((mat - mat[0]) ** 2).sum(1))
     root = Node(np.arange(len(mat)), mat[0], float(far.max()))
-    open_nodes = [(root, far)]
+    open_nodes, made = [(root, far)], [root]
     while open_nodes:
         node, dist = open_nodes.pop()
-        if len(node.rows) <= LEAF or node.radius == 0:
+        if len(node.rows) <= leaf or node.radius == 0:
             continue
         pts, reach = mat[node.rows], node.radius / 2
         nearest, owner, centres, dists = dist.copy(), np.zeros(len(pts), int), [node.centre], [dist]
-        while len(centres) <= FAN and nearest.max() > reach:
+        while len(centres) < FAN and nearest.max() > reach:
             c = pts[int(nearest.argmax())]
             d = np.sqrt(((pts - c) ** 2).sum(1))
             closer = d < nearest
@@ -48,7 +50,7 @@ def cover_tree(mat: np.ndarray) -> Node:
             nearest = np.minimum(nearest, d)
             centres.append(c)
             dists.append(d)
-        if len(centres) > FAN:
+        if np.bincount(owner).max() == len(pts):  # rounding: no centre drew any row
             continue
         kids = []
         for j, c in enumerate(centres):
@@ -58,6 +60,13 @@ def cover_tree(mat: np.ndarray) -> Node:
                 kids.append(kid)
                 open_nodes.append((kid, dists[j][mine]))
         node.kids = tuple(kids)
+        made += kids
+    reach_of: dict[int, float] = {}  # radii of the leaves below, each row counted
+    for node in reversed(made):
+        below = sum(reach_of.pop(id(k)) for k in node.kids)
+        if below > FLAT * node.radius * len(node.rows):
+            node.kids = ()
+        reach_of[id(node)] = below if node.kids else node.radius * len(node.rows)
     return root
 
 
@@ -71,7 +80,7 @@ class Heaps:
     """The k best (score, id) of each query so far; scores are exact whole numbers."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor.astype(float).copy()
+        self.k, self.floor, self.scored = k, floor.astype(float).copy(), 0  # pairs of rows scored so far
         self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, tile: np.ndarray, ids: np.ndarray) -> None:
@@ -102,6 +111,7 @@ def dual_search(q_tree: Node, r_tree: Node, q_ids, q_mat, r_ids, r_mat, k: int,
             continue
         if not q.kids and not r.kids:
             tile = q_mat[q.rows] @ r_mat[r.rows].T
+            heaps.scored += tile.size
             own = q_ids[q.rows][:, None] == r_ids[r.rows][None, :]
             tile[own] = -np.inf
             heaps.offer(q.rows, tile, r_ids[r.rows])
@@ -134,7 +144,7 @@ def far_apart(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def exact_topk(df: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
-               block_rows: int = 4096, cells: int = 32, sample_rows: int = 2048) -> DataFrame:
+               block_rows: int = 4096, cells: int = 32, sample_rows: int = 2048, leaf: int = LEAF) -> DataFrame:
     """Each query's k rows of largest integer inner product of floor(64 x) vectors.
 
     ``query`` is a condition on the column ``id``. Candidates are all rows but the
@@ -218,8 +228,8 @@ def exact_topk(df: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec
         key = (block, len(r_ids), r_mat.shape[1])
         if key not in trees:
             trees.clear()
-            trees[key] = cover_tree(r_mat)
-        heaps = dual_search(cover_tree(q_mat), trees[key], q_ids, q_mat, r_ids, r_mat, k, floors(q_ids, q_mat))
+            trees[key] = cover_tree(r_mat, leaf)
+        heaps = dual_search(cover_tree(q_mat, leaf), trees[key], q_ids, q_mat, r_ids, r_mat, k, floors(q_ids, q_mat))
         at, col = np.nonzero(heaps.scores > -np.inf)
         return q_ids[at], heaps.ids[at, col], heaps.scores[at, col].astype(np.int64)
 

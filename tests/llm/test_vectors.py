@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm.op1_topk import exact_topk
+from lattica.llm.op1_topk import cover_tree, dual_search, exact_topk
 from lattica.llm.op6_ann import nearest
 
 KIND = "vec_id long, embedding array<float>, id string, block int, query_id string"
@@ -46,6 +46,38 @@ def test_against_brute_force(spark, op, copies):
     assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
+def clustered(n, dim, rng, clusters=12):
+    centres = [[rng.uniform(-9, 9) for _ in range(dim)] for _ in range(clusters)]
+    return [[x + rng.gauss(0, 0.05) for x in rng.choice(centres)] for _ in range(n)]
+
+
+def test_trees_prune_clusters():
+    """Trees deeper than one level; most pairs of rows in clusters are never scored, and none is lost."""
+    rng = random.Random(6)
+    mat = np.floor(64 * np.array(clustered(1500, 5, rng)))
+    tree = cover_tree(mat, 16)
+    nodes, depth = [(tree, 1)], 0
+    while nodes:
+        node, d = nodes.pop()
+        depth = max(depth, d)
+        assert np.sqrt(((mat[node.rows] - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-9
+        assert not node.kids or sorted(np.concatenate([k.rows for k in node.kids])) == sorted(node.rows)
+        nodes += [(k, d + 1) for k in node.kids]
+    assert depth > 2
+    q, ids = np.arange(0, 1500, 20), np.arange(1500)
+    found = dual_search(cover_tree(mat[q], 16), tree, q, mat[q], ids, mat, 7, np.full(len(q), -np.inf))
+    assert found.scored < 0.5 * len(q) * 1500
+    want = brute(dict(enumerate((mat / 64).tolist())), 7, True)
+    assert {(int(a), n): int(r) for a, rows in zip(q, found.ids) for n, r in enumerate(rows, 1)} == {k: v[0] for k, v in want.items()}
+
+
+def test_trees_in_blocks(spark):
+    rng = random.Random(7)
+    vectors = dict(enumerate(clustered(700, 4, rng) + rows_of(100, 4, rng)))
+    got = exact_topk(frame(spark, list(vectors.values())), 7, F.col("id") % 20 == 0, block_rows=200, leaf=16).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in got} == {k: v[0] for k, v in brute(vectors, 7, True).items()}
+
+
 @pytest.mark.parametrize("op", [exact_topk, nearest])
 def test_small_tables(spark, op):
     assert op(frame(spark, []), 5, F.col("id") % 20 == 0).collect() == []
