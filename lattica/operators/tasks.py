@@ -106,13 +106,40 @@ def reset(g: PropertyGraph) -> PropertyGraph:
     return PropertyGraph(g.vertices.withColumn("status", F.lit("pending")), g.edges, g.directed)
 
 
-def run(g: PropertyGraph, body: Callable[[str], None], concurrency: int = 4) -> tuple[PropertyGraph, dict[str, Exception]]:
+class RunCancelled(GraphError):
+    """A run that was cancelled, with the graph as it then is and the errors by task."""
+
+    def __init__(self, graph: PropertyGraph, errors: dict[str, Exception]):
+        super().__init__("run cancelled")
+        self.graph, self.errors = graph, errors
+
+
+def run(
+    g: PropertyGraph, body: Callable[[str], None], concurrency: int = 4, cancelled: Callable[[], bool] = bool, watch: Callable[[str, str], None] = lambda id_, status: None
+) -> tuple[PropertyGraph, dict[str, Exception]]:
     """Runs all ready tasks, waits for them, and goes on with what they made ready.
 
     ``body`` runs on the driver in at most ``concurrency`` threads, from where it can submit
     Spark jobs; under 1 means 1. A wave with failures is the last; what waits for a failed
     task stays pending. Tasks on a cycle never run. Returns the graph and errors by task.
+
+    ``watch`` hears of each task's way through running to done or failed. Once ``cancelled``
+    is true no further task starts: those under way are waited for, the others of the wave
+    stay ready, and RunCancelled carries the graph.
     """
+
+    def one(id_: str) -> bool | Exception:
+        if cancelled():
+            return False
+        watch(id_, "running")
+        try:
+            body(id_)
+        except Exception as error:  # the task's own failure, whatever it is
+            watch(id_, "failed")
+            return error
+        watch(id_, "done")
+        return True
+
     errors: dict[str, Exception] = {}
     with ThreadPoolExecutor(max(1, concurrency)) as pool:
         while True:
@@ -120,13 +147,13 @@ def run(g: PropertyGraph, body: Callable[[str], None], concurrency: int = 4) ->
             ids = [r.id for r in wave.collect()]  # the tasks of one wave, each run on the driver
             if not ids:
                 return g, errors
-            futures = {i: pool.submit(body, i) for i in ids}
-            for i, f in futures.items():
-                if (error := f.exception()) is not None:
-                    errors[i] = error
+            ended = dict(zip(ids, pool.map(one, ids)))
+            errors = {i: e for i, e in ended.items() if isinstance(e, Exception)}
             spark = g.vertices.sparkSession
-            for status, hit in (("done", [i for i in ids if i not in errors]), ("failed", [i for i in ids if i in errors])):
+            for status, hit in (("done", [i for i, e in ended.items() if e is True]), ("failed", list(errors))):
                 g = with_status(g, spark.createDataFrame([(i,) for i in hit], "id string"), status)
             g = PropertyGraph(cut(g.vertices), g.edges, g.directed)
+            if False in ended.values():
+                raise RunCancelled(g, errors)
             if errors:
                 return g, errors

@@ -158,3 +158,15 @@ def test_task_runs(spark):
     assert list(errors) == ["t1"] and {r.id: r.status for r in out.vertices.collect()} == {"t1": "failed", "t2": "done", "t3": "pending"}
     with pytest.raises(GraphError):
         J.transition_task(out, "t1", "ready")
+
+
+def test_cancelled_run(spark):
+    g = PropertyGraph.build(spark, [{"id": i, "status": "pending"} for i in "abcd"], [("a", "d")], True)
+    seen = []
+    with pytest.raises(J.RunCancelled) as stop:
+        J.run(g, lambda i: None, 1, lambda: ("b", "done") in seen, lambda *x: seen.append(x))
+    assert seen == [("a", "running"), ("a", "done"), ("b", "running"), ("b", "done")] and stop.value.errors == {}
+    assert {r.id: r.status for r in stop.value.graph.vertices.collect()} == {"a": "done", "b": "done", "c": "ready", "d": "pending"}
+    with pytest.raises(J.RunCancelled) as stop:
+        J.run(g, lambda i: 1 / 0, 2, lambda: True)
+    assert {r.status for r in stop.value.graph.vertices.collect()} == {"ready", "pending"}
