@@ -45,12 +45,12 @@ class GraphService:
             "/api/edge/add": self.add_edge,
             "/api/edge/remove": lambda b, q: self.now(mutate.remove(self.graph, edges=[(b["from"], b["to"])])[0]),
             "/api/templates": lambda b, q: templates.template_list(),
-            "/api/template/load": lambda b, q: self.replaced(templates.template(self.spark, b["id"]), {}),
+            "/api/template/load": lambda b, q: self.replaced(templates.template(self.spark, b["id"]), templates.positions(b["id"])),
             "/api/algo": lambda b, q: self.shown(self.algorithm(q.get("algo", ""), b)),
             "/api/plan/load": self.load_plan,
             "/api/directory/load": self.load_directory,
             "/api/files/list": lambda b, q: self.catalog.list(),
-            "/api/files/load": lambda b, q: self.replaced(self.catalog.open(checked(b["name"]), create=False), {}),
+            "/api/files/load": self.load_file,
             "/api/files/save": self.save_file,
             "/api/node/meta": lambda b, q: self.meta_page(self.node_rows(b), b),
             "/api/node/meta/set": lambda b, q: self.changed(self.node_rows(b), lambda: mutate.set_node_meta(self.graph, b["id"], b.get("key", ""), b.get("value"))),
@@ -121,11 +121,17 @@ class GraphService:
         root = body.get("rootName") or "root"
         g = loaders.from_directory(self.spark.createDataFrame(rows, "path string, name string, is_dir boolean, size long, content string"), root, body.get("extensions") or [])
         depth = F.when(F.col("id") == root, 0).otherwise(F.length("id") - F.length(F.replace(F.col("id"), F.lit("/"), F.lit(""))) + 1)
-        return self.replaced(g, {r.id: {"x": r.x, "y": r.y} for r in loaders.layout(g.vertices.select("id", depth.alias("level"))).collect()})
+        return self.replaced(g, {r.id: {"x": r.x, "y": r.y} for r in loaders.layout(g.vertices.select("id", depth.alias("level")), centred=True).collect()})
 
     def save_file(self, body: dict, _: dict) -> dict:
         self.catalog.put(body["name"], self.graph)
-        return self.catalog.save(body["name"])
+        saved = self.catalog.save(body["name"])
+        self.catalog.write_text(self.catalog.path(body["name"], "positions.json"), json.dumps(self.positions, sort_keys=True))
+        return saved
+
+    def load_file(self, body: dict, _: dict) -> dict:
+        g, path = self.catalog.open(checked(body["name"]), create=False), self.catalog.path(body["name"], "positions.json")
+        return self.replaced(g, snapshot.placed(g, json.loads(self.catalog.read_text(path)) if self.catalog.exists(path) else {}))
 
     def node_rows(self, body: dict):
         rows = lookup.node(self.graph, body["id"])

@@ -93,7 +93,9 @@ def from_plan(tasks: DataFrame) -> PropertyGraph:
     return compute_ready(PropertyGraph.of(rows.select("id", "label", "status"), edges))
 
 
-def layout(levels: DataFrame) -> DataFrame:
-    """(id, level, x, y): a row for each level, its tasks side by side by id."""
+def layout(levels: DataFrame, centred: bool = False) -> DataFrame:
+    """(id, level, x, y): a row for each level, its nodes side by side by id, from the left or
+    around the middle."""
     place = F.row_number().over(Window.partitionBy("level").orderBy("id")) - 1
-    return levels.select("id", "level", (150.0 + 200.0 * place).alias("x"), (80.0 + 150.0 * F.col("level")).alias("y"))
+    left = 400.0 - 100.0 * (F.count("*").over(Window.partitionBy("level")) - 1) if centred else F.lit(150.0)
+    return levels.select("id", "level", (left + 200.0 * place).alias("x"), (80.0 + 150.0 * F.col("level")).alias("y"))

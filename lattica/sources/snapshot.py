@@ -109,8 +109,11 @@ def export(g: PropertyGraph, positions: dict[str, dict] | None = None) -> str:
 def import_(spark: SparkSession, text: str, per_row: int = 5) -> tuple[PropertyGraph, dict[str, dict]]:
     """A wrapped or bare document; nodes without a position get a place on a grid."""
     doc, g = json.loads(text), unmarshal(spark, text)
-    places = dict(doc.get("positions") or {}) if "snapshot" in doc else {}
-    missing = [r.id for r in g.vertices.select("id").orderBy("id").collect() if r.id not in places]
-    for i, node in enumerate(missing):
-        places[node] = {"x": 150.0 + 150.0 * (i % per_row), "y": 150.0 + 150.0 * (i // per_row)}
-    return g, places
+    return g, placed(g, dict(doc.get("positions") or {}) if "snapshot" in doc else {}, per_row)
+
+
+def placed(g: PropertyGraph, places: dict[str, dict], per_row: int = 5) -> dict[str, dict]:
+    """A place for every node of a drawn graph: the given ones, and a grid for the others."""
+    ids = [r.id for r in g.vertices.select("id").orderBy("id").collect()]  # as many as a page shows
+    grid = {node: {"x": 150.0 + 200.0 * (i % per_row), "y": 80.0 + 150.0 * (i // per_row)} for i, node in enumerate(x for x in ids if x not in places)}
+    return {node: places.get(node) or grid[node] for node in ids}

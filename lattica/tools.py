@@ -97,7 +97,17 @@ def differences(a: PropertyGraph, b: PropertyGraph) -> dict:
 
 TEXT, FLAG, WHOLE, NUMBER = {"type": "string"}, {"type": "boolean"}, {"type": "integer"}, {"type": "number"}
 TEXTS = {"type": "array", "items": TEXT}
-OBJECTS = {"type": "array", "items": {"type": "object"}}
+
+
+def objects(needed: tuple[str, ...], **properties: dict) -> dict:
+    return {"type": "array", "items": {"type": "object", "properties": properties, "required": list(needed)}}
+
+
+OPEN = {"type": "object"}
+NODES = objects(("id",), id=TEXT, label=TEXT, status=TEXT, meta=OPEN, delete=TEXTS)
+EDGES = objects(("from", "to"), **{"from": TEXT, "to": TEXT, "label": TEXT, "weight": NUMBER, "meta": OPEN, "delete": TEXTS})
+PAIRS = objects(("from", "to"), **{"from": TEXT, "to": TEXT})
+FILTERS = objects(("key", "op"), key=TEXT, op=TEXT | {"enum": ["eq", "neq", "contains", "gt", "gte", "lt", "lte", "exists"]}, value={})
 
 
 def table(c: GraphCatalog) -> dict[str, tuple[str, dict, set, Callable]]:
@@ -119,10 +129,10 @@ def table(c: GraphCatalog) -> dict[str, tuple[str, dict, set, Callable]]:
         "list_graphs": ("List graphs", {}, set(), lambda: c.list()),
         "delete_graph": ("Delete a graph", name, {"name"}, lambda name: c.delete(name)),
         "graph_summary": ("Structure of a graph", name, {"name"}, lambda name: c.summary(name)),
-        "upsert": ("Create or update nodes, edges and metadata", one | {"nodes": OBJECTS, "edges": OBJECTS}, {"graph"}, lambda graph, nodes=(), edges=(): c.upsert(graph, nodes, edges)),
-        "read_nodes": ("Read nodes by id or filter, in pages", one | {"ids": TEXTS, "keys": TEXTS, "filters": OBJECTS, "include_edges": FLAG, "offset": WHOLE, "limit": WHOLE}, {"graph"}, lambda graph, **a: c.read_nodes(graph, **a)),
+        "upsert": ("Create or update nodes, edges and metadata", one | {"nodes": NODES, "edges": EDGES}, {"graph"}, lambda graph, nodes=(), edges=(): c.upsert(graph, nodes, edges)),
+        "read_nodes": ("Read nodes by id or filter, in pages", one | {"ids": TEXTS, "keys": TEXTS, "filters": FILTERS, "include_edges": FLAG, "offset": WHOLE, "limit": WHOLE}, {"graph"}, lambda graph, **a: c.read_nodes(graph, **a)),
         "transition": ("Change a node's status", one | {"id": TEXT, "status": TEXT}, {"graph", "id", "status"}, lambda graph, id, status: c.transition(graph, id, status)),  # noqa: A002
-        "remove": ("Remove nodes and edges", one | {"nodes": TEXTS, "edges": OBJECTS}, {"graph"}, lambda graph, nodes=(), edges=(): c.remove(graph, nodes, edges)),
+        "remove": ("Remove nodes and edges", one | {"nodes": TEXTS, "edges": PAIRS}, {"graph"}, lambda graph, nodes=(), edges=(): c.remove(graph, nodes, edges)),
         "scc": add("Strongly connected components", lambda g: {"components": groups(components.strongly_connected(g))}),
         "mst": add("Minimum spanning forest", spanning),
         "bfs": add("Breadth-first order", lambda g, start: {"order": ids(traverse.bfs(g, start), "ord")}, {"start": TEXT}),

@@ -40,15 +40,21 @@ def test_routes(spark, tmp_path):
     assert s.handle("/api/files/save", {"name": "../x"})[0] == 400 and s.handle("/api/files/load", {"name": "none"})[0] == 400
     assert call("graph/clear")["nodes"] == [] and len(call("graph/import", saved)["nodes"]) == 2
     assert call("graph/directed", {"directed": False})["directed"] is False
-    assert len(call("files/load", {"name": "one"})["nodes"]) == 2 and call("edge/remove", {"from": "a", "to": "b"})["edges"] == []
+    loaded = call("files/load", {"name": "one"})["nodes"]
+    assert [(n["id"], n["x"], n["y"]) for n in loaded] == [("a", 1.0, 2.0), ("b", 5.0, 6.0)]
+    assert call("edge/remove", {"from": "a", "to": "b"})["edges"] == []
     assert len(call("node/remove", {"id": "a"})["nodes"]) == 1
     plan = {"tasks": [{"id": "t1", "status": "done"}, {"id": "t2", "dependencies": ["t1"]}]}
     g = call("plan/load", plan)
     assert [(n["status"], n["y"]) for n in g["nodes"]] == [("done", 80.0), ("ready", 230.0)]
     assert call("node/status", {"id": "t2", "status": "running"})["nodes"][1]["status"] == "running"
     tree = call("directory/load", {"rootName": "r", "entries": [{"path": "d/f.py", "name": "f.py", "size": 1}]})
-    assert [n["id"] for n in tree["nodes"]] == ["d", "d/f.py", "r"]
-    assert len(call("templates")) == 8 and len(call("template/load", {"id": "orgchart"})["nodes"]) == 11
+    assert [(n["id"], n["x"], n["y"]) for n in tree["nodes"]] == [("d", 400.0, 230.0), ("d/f.py", 400.0, 380.0), ("r", 400.0, 80.0)]
+    assert len(call("templates")) == 8 and all(t["description"] for t in call("templates"))
+    chart = call("template/load", {"id": "orgchart"})["nodes"]
+    assert len(chart) == 11 and {n["id"]: (n["x"], n["y"]) for n in chart}["ceo"] == (450.0, 50.0)
+    tree = call("template/load", {"id": "codebase"})
+    assert len(tree["nodes"]) == 25 and {e["label"] for e in tree["edges"]} == {"contains", "tested by"}
 
 
 def test_http(spark, tmp_path):
