@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import deepshallow, op2_suffix, op3_jaccard, shingles
+from lattica.llm import deepshallow, op2_suffix, op3_jaccard, op4_packing, shingles
 from lattica.llm.op4_packing import WordTokenizer, default_tokenizer, pack_documents, plan
 from lattica.llm.op8_licenses import BASE, automaton, evaluate, postfix, scan, scan_licenses
 from lattica.llm.op9_mixing import mix, mixed_documents
@@ -211,6 +211,20 @@ def test_packing_round_trip(spark):
     end = np.array([1], np.uint32).tobytes()
     assert joined == {i: ids + end for i, ids in enumerate(tokenizer.ids([t or "" for t in texts]))}
     assert pack_documents(docs(spark, []), default_tokenizer()).collect() == []
+    odd = pack_documents(docs(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (None, None)]), default_tokenizer()).collect()
+    assert sum(r.length for r in odd if r.doc_id == 1) == 2 * odd[0].doc_tokens and sum(r.length for r in odd if r.doc_id is None) == odd[0].doc_tokens + 1
+
+
+def test_words_of_long_texts(monkeypatch):
+    """A long text's ids are those of the whole, whatever the parts and the size of the cache."""
+    rng = random.Random(3)
+    texts = [words(3000, rng, 4000), "x " * 500, "é" * 2000, words(40, rng), ""]
+    want = WordTokenizer(default_tokenizer()).ids(texts)
+    for part, cache in ((500, 24_000_000), (700, 4_000), (10_000, 40_000)):
+        monkeypatch.setattr(op4_packing, "PART", part)
+        monkeypatch.setattr(op4_packing, "CACHE", cache)
+        small = WordTokenizer(default_tokenizer())
+        assert small.ids(texts) == want == small.ids(texts) and small.size <= cache
 
 
 def test_licence_phrases(spark):
@@ -275,6 +289,8 @@ def test_mixing(spark):
     assert sorted(map(tuple, mix(df.repartition(3)).collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert mixed_documents(df).groupBy("doc_id").count().agg(F.sum("count")).first()[0] == sum(r.copies for r in rows)
     assert mix(docs(spark, [])).collect() == [] and mixed_documents(docs(spark, [None])).collect() == []
+    odd = mix(docs(spark, [(1, "a b"), (1, "a b"), (None, "a b c"), (None, "a b c"), (2, None)], ["s", "s", "s", None, None])).collect()
+    assert sorted((r.doc_id or 0, r["size"], r.source_size) for r in odd) == [(0, 3, 3), (0, 3, 7), (1, 2, 7), (1, 2, 7), (2, 0, 3)] and all(r.taken <= 3 * r["size"] for r in odd)
 
 
 PAGES = [
@@ -318,4 +334,6 @@ def test_pages(spark):
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)} | {None: ("", 0)}
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    twice = main_text(spark.createDataFrame([(1, "u", PAGES[0][0]), (1, "u", PAGES[0][0])], "page_id long, url string, html string")).collect()
+    assert len(twice) == 2 and {r.text for r in twice} == {PAGES[0][1]}
     assert best_region([1, -5, 2, 3, -1, 2, -9, 4]) == (2, 6) and best_region([-1.0]) == (0, 0) and best_region([]) == (0, 0)
