@@ -97,26 +97,28 @@ def transitive_closure(g: PropertyGraph) -> PropertyGraph:
 def distances(g: PropertyGraph, source: str, target: str | None = None) -> DataFrame:
     """Shortest distances from the source: (id, dist, pred_dist, pred); unreachable nodes are absent.
 
-    Only nodes improved in the last round relax their edges. Of equally short ways the
-    predecessor nearer to the source wins, then the smaller id. With a target, ways no
-    shorter than the best one to it are dropped. Negative weights are an error.
+    Only nodes improved in the last round relax their edges, and a round adds its improvements
+    to those before; nothing else is written again. Of equally short ways the predecessor
+    nearer to the source wins, then the smaller id. With a target, ways no shorter than the
+    best one to it are dropped. Negative weights are an error.
     """
     arcs = cut(g.arcs())
     if not arcs.filter("weight < 0").limit(1).isEmpty():
         raise GraphError("shortest paths need weights of 0 or more")
     none = F.lit(None).cast("string")
-    best = cut(g.vertices.filter(F.col("id") == source).select("id", F.struct(F.lit(0.0).alias("dist"), F.lit(-1.0).alias("pred_dist"), none.alias("pred")).alias("b")))
-    changed = best
+    changed = cut(g.vertices.filter(F.col("id") == source).select("id", F.struct(F.lit(0.0).alias("dist"), F.lit(-1.0).alias("pred_dist"), none.alias("pred")).alias("b")))
+    known = [changed]
     while not changed.isEmpty():
         offers = arcs.join(changed.select(F.col("id").alias("src"), F.col("b.dist").alias("d")), "src")
-        offers = offers.select(F.col("dst").alias("id"), F.struct((F.col("d") + F.col("weight")).alias("dist"), F.col("d").alias("pred_dist"), F.col("src").alias("pred")).alias("b"))
-        if target is not None and (known := best.filter(F.col("id") == target).select("b.dist").first()):
-            offers = offers.filter(F.col("b.dist") <= known[0])
-        offers = offers.groupBy("id").agg(F.min("b").alias("n"))
-        merged = best.join(offers, "id", "full_outer").select("id", F.least("b", "n").alias("b"), (F.col("b").isNull() | (F.col("n") < F.col("b"))).alias("new"))
-        state = cut(merged)
-        best, changed = state.select("id", "b"), state.filter("new").select("id", "b")
-    return best.select("id", "b.*")
+        offers = offers.select(F.col("dst").alias("id"), F.struct((F.col("d") + F.col("weight")).alias("dist"), F.col("d").alias("pred_dist"), F.col("src").alias("pred")).alias("n"))
+        if target is not None:
+            end = whole(known).filter(F.col("id") == target).agg(F.min("b.dist")).first()[0]
+            offers = offers if end is None else offers.filter(F.col("n.dist") <= end)
+        offers = offers.groupBy("id").agg(F.min("n").alias("n"))
+        best = whole(known).join(offers.select("id"), "id", "left_semi").groupBy("id").agg(F.min("b").alias("b"))
+        changed = cut(offers.join(best, "id", "left").filter(F.col("b").isNull() | (F.col("n") < F.col("b"))).select("id", F.col("n").alias("b")))
+        known = grown(known, changed)
+    return whole(known).groupBy("id").agg(F.min("b").alias("b")).select("id", "b.*")
 
 
 def shortest_path(g: PropertyGraph, source: str, target: str) -> tuple[list[str], float]:
