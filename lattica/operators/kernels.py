@@ -16,25 +16,12 @@ from pyspark.sql import functions as F
 
 from lattica.operators.traverse import cyclic_core, reach
 from lattica.plans.graph import GraphError, PropertyGraph
+from lattica.plans.onetask import children_of, one_task
 from lattica.plans.scratch import cut
 
 LIMIT = 5_000_000
 
 
-def one_task(rows: DataFrame, kernel, schema: str, limit: int) -> DataFrame:
-    n = rows.count()
-    if n > limit:
-        raise GraphError(f"{n} rows exceed the limit of {limit} for a sequential kernel")
-    return rows.groupBy(F.lit(1).alias("_graph")).applyInPandas(lambda pdf: kernel(pdf.drop(columns="_graph", errors="ignore")), schema)
-
-
-def children_of(pdf: pd.DataFrame) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = defaultdict(list)
-    for a, b in pdf.dropna(subset=["dst"]).sort_values("dst")[["src", "dst"]].drop_duplicates().itertuples(index=False):
-        out[a].append(b)
-    return out
-
-
 def dfs(g: PropertyGraph, start: str, stop: Column | None = None, limit: int = LIMIT) -> DataFrame:
     """(id, ord) in preorder, neighbours ascending; no rows for an unknown start. Only
     what the start reaches enters the kernel. ``stop`` is a condition on vertex columns; the

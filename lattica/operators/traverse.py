@@ -2,21 +2,27 @@
 
 Each loop keeps its state in a checkpointed table and runs until a round changes nothing.
 State joins are equi-joins on node ids; Catalyst broadcasts a side only if it is small.
+A graph of at most SMALL arcs goes through one task instead, with the same result.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict, deque
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.plans.graph import GraphError, PropertyGraph
+from lattica.plans.onetask import children_of, one_task
 from lattica.plans.ordering import with_ordinal
 from lattica.plans.scratch import cut
 
 GUARD = 100_000  # nodes for results that have a row for each pair of nodes
 MERGE = 32  # level tables that a loop keeps apart
+SMALL = 200_000  # arcs that one task walks faster than a loop of jobs does
 
 
 def whole(parts: list[DataFrame]) -> DataFrame:
@@ -36,6 +42,32 @@ def bfs(g: PropertyGraph, start: str, stop: Column | None = None) -> DataFrame:
     condition on vertex columns; the visit ends after the first node that meets it.
     """
     arcs = cut(g.arcs().select("src", "dst").distinct())
+    out = bfs_in_one_task(g, arcs, start) if arcs.count() <= SMALL else bfs_by_levels(g, arcs, start)
+    if stop is not None:
+        last = out.join(g.vertices.filter(stop).select("id"), "id", "left_semi").agg(F.min("ord")).first()[0]
+        out = out if last is None else out.filter(F.col("ord") <= last)
+    return out
+
+
+def bfs_in_one_task(g: PropertyGraph, arcs: DataFrame, start: str) -> DataFrame:
+    first = g.vertices.filter(F.col("id") == start).select(F.lit(None).cast("string").alias("src"), F.col("id").alias("dst"))
+
+    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
+        children, level = children_of(pdf.dropna(subset=["src"])), {}
+        if pdf["src"].isna().any():
+            level, queue = {start: 0}, deque([start])
+            while queue:
+                v = queue.popleft()
+                for c in children.get(v, ()):
+                    if c not in level:
+                        level[c] = level[v] + 1
+                        queue.append(c)
+        return pd.DataFrame({"id": pd.Series(list(level), dtype=object), "ord": range(len(level)), "level": pd.Series(list(level.values()), dtype="int32")})
+
+    return one_task(arcs.union(first), visit, "id string, ord long, level int", SMALL + 1)
+
+
+def bfs_by_levels(g: PropertyGraph, arcs: DataFrame, start: str) -> DataFrame:
     front = cut(g.vertices.filter(F.col("id") == start).select("id", F.lit(0).cast("long").alias("ord"), F.lit(0).alias("level")))
     levels, base, depth = [front], 1, 0
     while not front.isEmpty():
@@ -46,11 +78,7 @@ def bfs(g: PropertyGraph, start: str, stop: Column | None = None) -> DataFrame:
         front = cut(numbered.select("id", "ord", F.lit(depth).alias("level")))
         levels = grown(levels, front)
         base += front.count()
-    out = whole(levels)
-    if stop is not None:
-        last = out.join(g.vertices.filter(stop).select("id"), "id", "left_semi").agg(F.min("ord")).first()[0]
-        out = out if last is None else out.filter(F.col("ord") <= last)
-    return out
+    return whole(levels)
 
 
 def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
@@ -105,6 +133,8 @@ def distances(g: PropertyGraph, source: str, target: str | None = None) -> DataF
     arcs = cut(g.arcs())
     if not arcs.filter("weight < 0").limit(1).isEmpty():
         raise GraphError("shortest paths need weights of 0 or more")
+    if arcs.count() <= SMALL:
+        return distances_in_one_task(g, arcs, source)
     none = F.lit(None).cast("string")
     changed = cut(g.vertices.filter(F.col("id") == source).select("id", F.struct(F.lit(0.0).alias("dist"), F.lit(-1.0).alias("pred_dist"), none.alias("pred")).alias("b")))
     known = [changed]
@@ -121,6 +151,29 @@ def distances(g: PropertyGraph, source: str, target: str | None = None) -> DataF
     return whole(known).groupBy("id").agg(F.min("b").alias("b")).select("id", "b.*")
 
 
+def distances_in_one_task(g: PropertyGraph, arcs: DataFrame, source: str) -> DataFrame:
+    first = g.vertices.filter(F.col("id") == source).select(F.lit(None).cast("string").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        for a, b, w in pdf.dropna(subset=["src"]).itertuples(index=False):
+            out[a].append((b, w))
+        best: dict[str, tuple[float, float, str | None]] = {}
+        heap: list[tuple[float, float, str, str]] = [(0.0, -1.0, "", source)] if pdf["src"].isna().any() else []
+        while heap:  # the least (distance, predecessor's distance, predecessor) of a node comes first
+            d, before, by, v = heapq.heappop(heap)
+            if v in best:
+                continue
+            best[v] = (d, before, by if before >= 0 else None)
+            for b, w in out.get(v, ()):
+                if b not in best:
+                    heapq.heappush(heap, (d + w, d, v, b))
+        rows = pd.DataFrame([(v, *x) for v, x in best.items()], columns=["id", "dist", "pred_dist", "pred"])
+        return rows.astype({"id": object, "dist": float, "pred_dist": float, "pred": object})
+
+    return one_task(arcs.select("src", "dst", "weight").union(first), settle, "id string, dist double, pred_dist double, pred string", SMALL + 1)
+
+
 def shortest_path(g: PropertyGraph, source: str, target: str) -> tuple[list[str], float]:
     """The path and its cost. Missing ends and unreachable targets are errors."""
     g.require(source=source, destination=target)
@@ -130,9 +183,16 @@ def shortest_path(g: PropertyGraph, source: str, target: str) -> tuple[list[str]
     hit = best.filter(F.col("id") == target).first()
     if hit is None:
         raise GraphError(f"no path from {source} to {target}")
+    if best.count() <= SMALL:  # so are the rows that come to the driver
+        pred = {r.id: r.pred for r in best.select("id", "pred").collect()}
+    else:
+        pred, at = {target: hit.pred}, hit.pred
+        while at != source:  # one lookup for each node of the path
+            pred[at] = best.filter(F.col("id") == at).first().pred
+            at = pred[at]
     path = [target]
-    while path[-1] != source:  # one lookup for each node of the path
-        path.append(best.filter(F.col("id") == path[-1]).first().pred)
+    while path[-1] != source:
+        path.append(pred[path[-1]])
     return path[::-1], hit.dist
 
 
@@ -207,6 +267,8 @@ def peel(vertices: DataFrame, arcs: DataFrame, start: float = 0.0) -> DataFrame:
     A round touches the arcs of the nodes that became free in the last one and the nodes that
     still wait for other predecessors, not the whole graph.
     """
+    if arcs.count() <= SMALL and vertices.count() <= SMALL:
+        return peel_in_one_task(vertices, arcs, start)
     waits = cut(arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")))
     front = cut(vertices.select("id").join(waits, "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(start).alias("t")))
     done, open_, level = [front], None, 0
@@ -222,6 +284,29 @@ def peel(vertices: DataFrame, arcs: DataFrame, start: float = 0.0) -> DataFrame:
     return whole(done)
 
 
+def peel_in_one_task(vertices: DataFrame, arcs: DataFrame, start: float) -> DataFrame:
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        waits = dict.fromkeys(pdf["src"], 0)
+        for a, b, w in pdf.dropna(subset=["dst"]).itertuples(index=False):
+            out[a].append((b, w))
+            waits[b] = waits.get(b, 0) + 1
+        level, t = {v: 0 for v, n in waits.items() if n == 0}, dict.fromkeys(waits, start)
+        queue, deepest = deque(level), dict.fromkeys(waits, 0)
+        while queue:
+            v = queue.popleft()
+            for b, w in out.get(v, ()):
+                t[b], deepest[b] = max(t[b], t[v] + w), max(deepest[b], level[v] + 1)
+                waits[b] -= 1
+                if waits[b] == 0:
+                    level[b] = deepest[b]
+                    queue.append(b)
+        return pd.DataFrame({"id": pd.Series(list(level), dtype=object), "level": pd.Series(list(level.values()), dtype="int32"), "t": pd.Series([t[v] for v in level], dtype=float)})
+
+    rows = vertices.select(F.col("id").alias("src")).join(arcs.select("src", "dst", "weight"), "src", "left")
+    return one_task(rows, walk, "id string, level int, t double", 2 * SMALL)
+
+
 def peeled(g: PropertyGraph, what: str) -> tuple[DataFrame, DataFrame]:
     """The arcs of a directed graph and its peeled nodes; a cycle is an error."""
     g.need_directed(what)
