@@ -11,7 +11,7 @@ from lattica.plans.graph import GraphError, PropertyGraph
 def diff(a: PropertyGraph, b: PropertyGraph) -> dict[str, DataFrame]:
     """nodes_added, nodes_removed (id); edges_added, edges_removed (src, dst, weight);
     weights_changed (src, dst, old_weight, new_weight), each in order. Payload and metadata
-    do not count. Two full outer joins, one for nodes and one for edges."""
+    do not count. One full outer join of the edges, two anti-joins of the nodes."""
     if a.directed != b.directed:
         raise GraphError("cannot compare a directed with an undirected graph")
     va, vb = a.vertices.select("id"), b.vertices.select("id")

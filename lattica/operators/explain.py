@@ -11,7 +11,7 @@ from lattica.operators.traverse import shortest_path, simple_paths
 from lattica.plans.graph import PropertyGraph
 from lattica.plans.scratch import cut
 
-PREVIEW = 5
+PREVIEW = 5  # the wording of the sentences below is fixed: clients read it
 
 
 def explain_path(g: PropertyGraph, source: str, target: str) -> dict:
