@@ -26,6 +26,7 @@ from lattica.llm import deepshallow
 from lattica.llm.common import binary_views, marked_rows, park, small_batches, table, text_of, worker_state
 
 WINDOW, GRAM = 400, 64
+PASSAGE = (256, 48)  # window and gram for passages of some 50 words
 CHUNK = 400_000
 GROUP = 4096  # contexts of one gram that one task sorts together
 BATCH = 6_000
@@ -334,7 +335,7 @@ def keep(view, spans) -> tuple[bytes, int, int]:
     return body, len(view) - len(body), runs
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK, as_text: bool = False, counted: tuple[int, int] | None = None) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes) to every document.
 
     A byte goes if a string of ``window`` bytes covers it that also starts elsewhere in any
@@ -342,32 +343,40 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chun
     on the input. Null texts are empty; texts under ``window`` bytes stay; repeated rows count
     as separate documents; null doc_ids are kept; an empty table gives no rows. All other
     columns of ``docs`` stay; clashing ones of the four new names are replaced. ``as_text``
-    gives kept as a string, without parts of characters that a cut leaves.
+    gives kept as a string, without parts of characters that a cut leaves. ``counted`` is
+    another window and gram: n_repeated then counts the bytes that repeated strings of that
+    length cover, whether they go or not.
     """
-    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    made = ["n_bytes", "n_removed", "n_spans", "kept", *(["n_repeated"] if counted else [])]
     small_batches(docs.sparkSession)
     docs = docs.drop(*made)
     ided = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
-    spans = park(repeated_spans(ided.select("doc_id", "h", "text"), window, gram, chunk), "spans")
-    spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    body = ided.select("doc_id", "h", "text")
+    spans = park(repeated_spans(body, window, gram, chunk), "spans").withColumn("goes", F.lit(True))
+    if counted:
+        spans = spans.union(park(repeated_spans(body, *counted, chunk), "spans-counted").withColumn("goes", F.lit(False)))
+    sets = [F.collect_set(F.when(F.col("goes") == goes, F.struct("start", "stop"))).alias(name) for name, goes in (("_spans", True), ("_counted", False))]
+    spans = spans.groupBy("doc_id", "h").agg(*sets)
     marks = marked_rows(spans.select("doc_id", "h"))
     spans = spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
     body = text_of().cast("binary")
     doc_id, h = F.col("doc_id").cast("long"), F.xxhash64(body)
 
-    @F.arrow_udf(f"struct<n_bytes: long, n_removed: long, n_spans: long, kept: {'string' if as_text else 'binary'}>")
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    @F.arrow_udf(f"struct<n_bytes: long, n_removed: long, n_spans: long, kept: {'string' if as_text else 'binary'}{', n_repeated: long' if counted else ''}>")
+    def cut(text: pa.Array, spans: pa.Array, more: pa.Array) -> pa.Array:
         views, found = binary_views(text), spans.to_pylist()
         parts = [keep(v, s) for v, s in zip(views, found)]
         bodies = pa.array([p[0].decode("utf-8", "ignore") for p in parts], pa.string()) if as_text else pa.array([p[0] for p in parts], pa.binary())
         arrays = [pa.array([len(v) for v in views], pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.array([p[2] for p in parts], pa.int64()), bodies]
+        if counted:
+            arrays.append(pa.array([keep(v, s)[1] for v, s in zip(views, more.to_pylist())], pa.int64()))
         return pa.StructArray.from_arrays(arrays, made)
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     held = docs.withColumn("_marked", marks(doc_id, h))
     some = held.filter("_marked").join(spans, doc_id.eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left")
-    some = some.withColumn("_cut", cut(body, F.col("_spans"))).select(*columns, "_cut.*")
-    none = [F.octet_length(body).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), text_of() if as_text else body]
+    some = some.withColumn("_cut", cut(body, F.col("_spans"), F.col("_counted"))).select(*columns, "_cut.*")
+    none = [F.octet_length(body).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), text_of() if as_text else body, F.lit(0).cast("long")]
     return some.unionByName(held.filter("NOT _marked").select(*columns, *[c.alias(k) for c, k in zip(none, made)]))
 
 
@@ -381,8 +390,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, then n_repeated: bytes in repeated passages of some 50 words."""
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counted=PASSAGE)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 QUERIES, ORACLE_SQL = {"op2_suffix": op2_suffix}, {}

@@ -30,16 +30,16 @@ def words(n, rng, size=400):
 VOCABULARY = [f"w{i:x}é" if i % 7 == 0 else f"w{i:x}" for i in range(4000)]
 
 
-def removed(texts):
-    """Brute force of the removal of repeated strings of 400 bytes."""
+def removed(texts, window=400):
+    """Brute force of the removal of repeated strings of so many bytes."""
     bodies = [(t or "").encode() for t in texts]
-    seen = collections.Counter(b[p : p + 400] for b in bodies for p in range(len(b) - 399))
+    seen = collections.Counter(b[p : p + window] for b in bodies for p in range(len(b) - window + 1))
     out = []
     for b in bodies:
         mark = bytearray(len(b))
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                mark[p : p + 400] = b"\1" * 400
+        for p in range(len(b) - window + 1):
+            if seen[b[p : p + window]] > 1:
+                mark[p : p + window] = b"\1" * window
         runs = sum(1 for k in range(len(mark)) if mark[k] and (not k or not mark[k - 1]))
         out.append((len(b), sum(mark), runs, hashlib.sha256(bytes(x for x, m in zip(b, mark) if not m)).hexdigest()))
     return out
@@ -53,9 +53,10 @@ def test_repeated_passages(spark, monkeypatch, group, chunk):
     texts = [words(60, rng) + shared + words(30, rng) for _ in range(8)] + [shared[: 380 + i] + words(50, rng) for i in range(8)]
     texts += [None, "", "a" * 900, "ab" * 450, words(300, rng), shared, shared, other + words(5, rng) + other, words(20, rng) + shared[:399], shared[100:] + "é" * 300]
     df = docs(spark, texts)
-    got = op2_suffix.remove_repeats(df, chunk=chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("x"), "h").collect()
+    got = op2_suffix.remove_repeats(df, chunk=chunk, counted=op2_suffix.PASSAGE).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("x"), "h", "n_repeated").collect()
     want = removed(texts)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.x) for r in got} == dict(enumerate(want))
+    assert {r.doc_id: r.n_repeated for r in got} == {i: x[1] for i, x in enumerate(removed(texts, 256))}
     twice = docs(spark, [(1, shared), (1, shared), (None, shared[50:]), (None, None)])
     got = op2_suffix.remove_repeats(twice).select("n_bytes", "n_removed").collect()
     assert sorted((r.n_bytes, r.n_removed) for r in got) == sorted(x[:2] for x in removed([shared, shared, shared[50:], None]))
