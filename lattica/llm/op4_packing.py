@@ -19,7 +19,7 @@ LATIN = re.compile("[^\x00-˿]|<\\|")  # outside it, or a special token's mark:
 CORE_TAIL = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%&$*#]+)")
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 SPACES = re.compile("[ \n\t\r]")
-CACHE = 24_000_000  # bytes of each of two generations of words in a Python worker
+CACHE = 80_000_000  # bytes of each of two generations of words in a Python worker
 ENTRY = 150  # bytes of a cached word besides its ids
 PART = 1_000_000  # characters split into words at a time
 
@@ -117,15 +117,16 @@ def combinations(hist: np.ndarray, window: int, most: int) -> list[tuple[int, ..
     here = np.nonzero(hist)[0]
     out = [(1 << e,) for e in range(window.bit_length() - 1) if hist[1 << e]]
     out += [(int(a), int(window - a)) for a in here if a <= window - a and hist[window - a]]
-    if len(here):
-        a, b = np.meshgrid(here, here, indexing="ij")
+    found = [np.zeros((4, 0), np.int64)]
+    for a in here[here <= window // 3]:
+        b = here[(here >= a) & (here <= (window - a) // 2)]
         c = window - a - b
-        ok = (a <= b) & (b <= c) & (c > 0)
-        a, b, c = a[ok], b[ok], c[ok]
         supply = np.minimum(np.minimum(hist[a], hist[b]), hist[c])
-        top = np.nonzero(supply)[0]
-        top = top[np.argsort(-supply[top], kind="stable")[:most]]
-        out += list(zip(a[top].tolist(), b[top].tolist(), c[top].tolist()))
+        here_too = np.nonzero(supply)[0]
+        found.append(np.stack([np.full(len(here_too), a), b[here_too], c[here_too], supply[here_too]]))
+    triples = np.concatenate(found, axis=1)
+    best = np.argsort(-triples[3], kind="stable")[:most]
+    out += list(zip(*triples[:3, best].tolist()))
     return out
 
 
@@ -200,7 +201,7 @@ def plan(lengths: np.ndarray, window: int, most: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x).astype(np.int64) for x in (doc, start, length, seq, offset)) + (n_seq,)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, block_tokens: int = 1_000_000,
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000,
                    triples: int = 4096, with_ids: bool = False) -> DataFrame:
     """Packs (doc_id, text) into sequences of at most ``window`` tokens, a power of two.
 
